@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import mixing, packing, token_counts
+from . import language_id, mixing, packing, quality, token_counts
 from .common import table
 
 
@@ -12,6 +12,18 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", language_id.held_out("doc_id").alias("held_out"))
+    found = language_id.identify(rows, language_id.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -20,6 +32,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1])
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_quality, op5_language_id, op7_token_counts, op10_mixing)}
 
 SQL: dict[str, str] = {}
