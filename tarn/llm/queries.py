@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language_id, mixing, packing, quality, token_counts
+from . import fingerprints, language_id, licenses, mixing, packing, quality, token_counts
 from .common import table
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
@@ -28,10 +32,14 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1])
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality, op5_language_id, op7_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_packing, op4_quality, op5_language_id, op7_token_counts, op9_fingerprints, op10_mixing)}
 
 SQL: dict[str, str] = {}
