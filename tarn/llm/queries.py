@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, language_id, licenses, mixing, packing, quality, token_counts
+from . import fingerprints, language_id, licenses, mixing, packing, pii, quality, token_counts
 from .common import table
 
 
+#: Key of the pseudonyms; real corpora pass their own.
+PSEUDONYM_KEY = "tarn-example-key"
+
+
+def op1_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PSEUDONYM_KEY)
+
+
 def op2_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1])
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_packing, op4_quality, op5_language_id, op7_token_counts, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_packing, op4_quality, op5_language_id, op7_token_counts, op9_fingerprints, op10_mixing)}
 
 SQL: dict[str, str] = {}
