@@ -1,19 +1,78 @@
-"""A corpus pipeline over ``documents``: each stage's rows are written and read again by the next."""
+"""A corpus pipeline over ``documents``: language, near-duplicates, personal data, mix, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``; further columns of their input are
+left out.  No stage looks at anything but its own input.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tarn.llm import language_id, mixing, near_duplicates, packing, pii
+from tarn.llm.common import shared_dir, stash
+from tarn.llm.queries import PSEUDONYM_KEY
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Decisions on more rows than this are joined by a shuffle, not a broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(df):
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def language(spark, docs, sf_dir):
+    """Rejects documents in no language (null, empty, or without a letter); fills missing languages."""
+    docs = docs.select(COLUMNS)
+    found = language_id.identify(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Keeps the document of least id of each near-duplicate group; rows of one id count as one document."""
+    docs = docs.select(COLUMNS)
+    groups = stash(near_duplicates.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    dropped = groups.where("NOT kept").select("doc_id").distinct()
+    left = docs.join(_small(dropped), "doc_id", "left_anti")
+    if not groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return left.select(COLUMNS)
 
-#: Language and packing cannot be said in SQL; the stages are tested against plain versions.
+
+def pseudonyms(spark, docs, sf_dir):
+    """Replaces personal data in texts; keeps all documents."""
+    found = pii.pseudonymize(docs.select(COLUMNS), PSEUDONYM_KEY)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mix(spark, docs, sf_dir):
+    """Leaves each document as often as the mix takes it."""
+    docs = docs.select(COLUMNS)
+    taken = mixing.mix(docs, weights=[5, 2, 1]).where("taken > 0")
+    copies = stash(taken.select(F.col("doc_id").alias("id"), "size", F.expr("cast(taken div size as int)").alias("copies")), "copies").dropDuplicates(["id", "size"])
+    sized = docs.withColumn("words", F.regexp_count("text", F.lit(mixing.WORD)).cast("long"))
+    joined = sized.join(_small(copies), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("pii", pseudonyms), ("mix", mix), ("packing", pack)]
+
+#: A trained network and a tokenizer cannot be said in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """The rows of the last stage over ``documents``."""
-    from tarn.llm.common import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, language_id, licenses, mixing, near_duplicates, packing, pii, quality, token_counts
+from . import fingerprints, language_id, licenses, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1])
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_packing, op4_quality, op5_language_id, op6_near_duplicates, op7_token_counts, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_packing, op4_quality, op5_language_id, op6_near_duplicates, op7_token_counts, op8_neighbours, op9_fingerprints, op10_mixing)}
 
 SQL: dict[str, str] = {}
