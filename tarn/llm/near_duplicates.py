@@ -12,8 +12,9 @@ similarity, with concentration as for independent hashes.
 band but with probability 2.4e-7.  Equal sets are one node from the start.  In
 each bucket (nodes that share a band) all are first compared with one pivot;
 where nodes of different components remain, further pivots are tried in large
-buckets, and at last all pairs of a bucket that are still in different
-components are compared.  Pairs inside a component need no comparison, so groups
+buckets, and at last the pairs that are still in different components are
+compared: all of small buckets, and of large ones those that pass an exact
+prefix, length and positional filter on their full sets.  Pairs inside a component need no comparison, so groups
 of copies cost rows in proportion to their size, and no link is dropped by a
 cap.  Comparisons are on the full sets.  Components come from alternating large
 and small stars over tables in the shared folder.
@@ -28,7 +29,7 @@ id is its own component; an empty table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, text_slices
@@ -147,7 +148,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in text_slices(texts, 1_000_000):
+            for lo, hi in text_slices(texts, 500_000):
                 sets = shingle_sets(texts[lo:hi])
                 bands = band_keys(sketch(sets)).tolist()
                 columns = [
@@ -169,7 +170,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in text_slices(texts, 1_000_000):
+            for lo, hi in text_slices(texts, 500_000):
                 hashes = pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), hashes], ["node", "hashes"])
 
@@ -227,6 +228,41 @@ def _cross_pairs(active: DataFrame) -> DataFrame:
     return a.join(b, "band").where("a < b AND root_a <> root_b").select("a", "b").distinct()
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``nodes`` (``node, root``) of different components that can reach the threshold.
+
+    Shingles are ordered by how many of the nodes hold them, rare ones first.
+    If a pair reaches the threshold, then one of the first ``n - need + 1``
+    shingles of the smaller set, ``need`` being the overlap that two sets of its
+    size need, is among the first of the larger, and the rest behind it suffices
+    for the overlap.  So no pair is lost, and texts of one origin that each have
+    changes enough of their own do not meet.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = [np.frombuffer(h, np.int64) for h in batch.column(2).to_pylist()]
+            size = np.array([len(h) for h in own], np.int64)
+            for lo in range(0, len(own), 256):
+                part = size[lo : lo + 256]
+                node, root = (np.repeat(batch.column(k).to_numpy()[lo : lo + 256], part) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(part, part)), pa.array(np.concatenate(own[lo : lo + 256]))], ["node", "root", "n", "hash"])
+
+    held = stash(sets.join(nodes, "node").select("node", "root", "hashes").mapInArrow(run, "node long, root long, n long, hash long"), "held")
+    common = held.groupBy("hash").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("node").orderBy("holders", "hash")
+    placed = held.join(common, "hash").withColumn("place", F.row_number().over(order))
+    placed = stash(placed.where(f"place <= n - ({percent} * n + 99) div 100 + 1").drop("holders"), "placed")
+    few = placed.where(f"place <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1").alias("x")
+    need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
+    able = f"""x.hash = y.hash AND x.root <> y.root AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND 100 * x.n >= {percent} * y.n
+        AND 1 + least(x.n - x.place, y.n - y.place) >= {need}"""
+    met = few.join(placed.alias("y"), F.expr(able))
+    return met.select(F.expr("least(x.node, y.node) AS a"), F.expr("greatest(x.node, y.node) AS b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -253,7 +289,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if turn < PIVOT_ROUNDS:
             ahead = active.where(f"size > {LARGE_BUCKET} AND root <> pivot_root").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         else:
-            ahead = _cross_pairs(active)
+            crowded = active.where(f"size > {LARGE_BUCKET}").select("node", "root").distinct()
+            ahead = _cross_pairs(active.where(f"size <= {LARGE_BUCKET}")).unionByName(_prefix_pairs(crowded, sets, percent)).distinct()
         pairs = stash(ahead.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
