@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, language_id, licenses, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts
+from . import fingerprints, language_id, licenses, mixing, near_duplicates, neighbours, oracles, packing, pii, quality, token_counts
 from .common import table
 
 
@@ -59,4 +59,4 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_packing, op4_quality, op5_language_id, op6_near_duplicates, op7_token_counts, op8_neighbours, op9_fingerprints, op10_mixing)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_licenses": oracles.licenses_sql(), "op6_near_duplicates": oracles.NEAR_DUPLICATES}
