@@ -209,7 +209,9 @@ def _number_to_char(a: Column, template: str) -> Column:
         raise UnsupportedError(f"number template {template!r}")
     whole, _, part = body.partition(".")
     number = F.round(a.cast("decimal(38,18)"), len(part))
-    text = F.format_string(f"%,.{len(part)}f" if "," in whole else f"%.{len(part)}f", F.abs(number))
+    text = F.abs(number).cast(f"decimal(38,{len(part)})").cast("string")
+    if "," in whole:
+        text = F.concat(F.regexp_replace(F.split_part(text, F.lit("."), F.lit(1)), r"(?<=\d)(?=(?:\d{3})+$)", ","), F.regexp_extract(text, r"\.\d*$", 0))
     zeros = whole.replace(",", "").find("0")
     if zeros >= 0:
         if "," in whole:
