@@ -69,10 +69,10 @@ def likeness_sql(a: str, b: str) -> str:
 
 def _next_below(groups: DataFrame) -> DataFrame:
     """``bucket, next_bucket``: the nearest smaller one that occurs; of the least, the largest."""
-    if groups.count() <= CHAIN_ROWS:
-        w = Window.orderBy(F.desc("bucket"))
-        top = groups.agg(F.max("bucket").alias("top"))
-        return groups.withColumn("below", F.lead("bucket").over(w)).crossJoin(F.broadcast(top)).select("bucket", F.coalesce("below", "top").alias("next_bucket"))
+    n, top = groups.agg(F.count("*"), F.max("bucket")).first()
+    if n <= CHAIN_ROWS:
+        below = F.lead("bucket").over(Window.orderBy(F.desc("bucket")))
+        return groups.select("bucket", F.coalesce(below, F.lit(top).cast("long")).alias("next_bucket"))
     own = groups.withColumn("over", F.expr(f"bucket div {BUCKET} - IF(bucket < 0, 1, 0)"))
     tops = own.groupBy("over").agg(F.max("bucket").alias("top"))
     chain = _next_below(stash(tops.select(F.col("over").alias("bucket")), "chain"))
@@ -81,9 +81,12 @@ def _next_below(groups: DataFrame) -> DataFrame:
     return own.withColumn("below", F.lead("bucket").over(w)).join(entry, "over").select("bucket", F.coalesce("below", "top").alias("next_bucket"))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], derived: dict[str, str] | None = None) -> DataFrame:
     """``rows`` (with ``id`` and ``text``) and ``next``, a struct of ``columns`` of the next row by descending id.
 
+    ``derived`` columns (SQL by name) are added to the rows where they are dealt
+    out, so that the added rows alone are computed twice.
+
     Rows are dealt by buckets of ids, so every task gets a bounded number of
     ids; the row that follows a bucket's last one is added to the bucket.
     """
@@ -94,6 +97,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     # Spark broadcasts ``follow`` (one row a bucket) if its written size allows, and sorts and merges else.
     guests = rows.join(follow, "at").withColumn("bucket", F.col("into")).drop("into").withColumn("guest", F.lit(True))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    both = both.withColumns({name: F.expr(text) for name, text in (derived or {}).items()})
     w = Window.partitionBy("bucket").orderBy("guest", F.desc("at"), "text")
     return both.withColumn("next", F.lead(F.struct(*columns)).over(w)).where(~F.col("guest")).drop("guest", "at", "bucket")
 
@@ -101,8 +105,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and likeness to that and to the next document."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", F.expr(fingerprint_sql("text")))
-    rows = with_next(rows, ["text", "fp"]).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(rows, ["text", "fp"], {"fp": fingerprint_sql("text")}).withColumn("n_chars", F.length("text").cast("long"))
     half = "cast(n_chars div 2 as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next.text, 1, {half}))"))
     rows = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", F.expr(fingerprint_sql("edited")).alias("edited_fp"), F.col("next.fp").alias("next_fp"))
