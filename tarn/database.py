@@ -8,12 +8,14 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from .errors import BatchError, QueryCanceled, QueryError, ScopeError, SerializationFailure, TransactionRolledBack, TransactionTimeout, UndefinedColumn, UndefinedTable
+from .functions.dates import STARTED
 from .operators.query import Query
 from .operators.select import Select
 from .operators.write import Delete, Insert, Update
@@ -243,6 +245,18 @@ class Database:
 
         return copy_lines(query)
 
+    def copy_writer(self, table: Table):
+        """A text file object; the lines written to it are appended when it is closed."""
+        from .sources.copy import CopyWriter
+
+        return CopyWriter(self, table)
+
+    def copy_reader(self, query: Select):
+        """A text file object that reads the result's lines as they are computed."""
+        from .sources.copy import CopyReader
+
+        return CopyReader(query)
+
     def listen(self, channel: str, handler: Callable[[str], None]) -> Callable[[], None]:
         """Calls ``handler(payload)`` for notices of this database object; returns what ends it."""
         self._listeners.setdefault(channel, []).append(handler)
@@ -265,6 +279,7 @@ class Transaction(Database):
         self.spark, self.sources, self.on_query, self.store = parent.spark, parent.sources, parent.on_query, parent.store
         self._listeners, self._view, self._parent = parent._listeners, view, parent
         self._settings, self._saved = dict(settings), {}
+        self._started = parent._started if isinstance(parent, Transaction) else datetime.now(timezone.utc)
         self._end = None if seconds is None else time.monotonic() + seconds
         self._after_commit: list[Callable] = []
         self._after_rollback: list[Callable] = []
@@ -279,13 +294,15 @@ class Transaction(Database):
             if left <= 0:
                 raise TransactionTimeout("the transaction took too long")
             timeout = left if timeout is None else min(left, _seconds(timeout))
-        saved = self._view.savepoint()
+        saved, token = self._view.savepoint(), STARTED.set(self._started)
         try:
             return super()._run(query, timeout, signal)
         except BaseException as e:
             self._view.restore(saved)
             self._failed = e
             raise
+        finally:
+            STARTED.reset(token)
 
     def set_local(self, name: str, value: str) -> None:
         """A session setting until the transaction ends."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +20,14 @@ _MONTHS = {"month": 1, "quarter": 3, "year": 12, "decade": 120, "century": 1200,
 _DAY = 86_400_000_000
 
 
+#: When the running transaction started; outside of one, ``now`` is when the query starts.
+STARTED: ContextVar[datetime | None] = ContextVar("started", default=None)
+
+
 @lowers("now")
 def _now(expr: Expr) -> Column:
-    return F.current_timestamp() if expr.payload is None else F.lit(expr.payload)
+    started = STARTED.get()
+    return F.current_timestamp() if started is None else F.lit(started)
 
 
 @lowers("current_date")

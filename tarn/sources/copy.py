@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +61,7 @@ def _unescaped(cell):
     return F.when(cell != "\\N", F.replace(marked, F.lit("\x00"), F.lit("\\")))
 
 
-def read_lines(db, table: Table, path: str) -> DataFrame:
+def read_lines(db, table: Table, path: str | list[str]) -> DataFrame:
     """Rows of the table's writable columns, in declared order, under database names."""
     keys = [k for k, c in table.columns.items() if c.writable]
     cells = F.split(F.col("value"), "\t")
@@ -73,7 +75,7 @@ def _plain_type(kind: T.DataType):
     return kind
 
 
-def copy_from(db, table: Table, path: str) -> int:
+def copy_from(db, table: Table, path: str | list[str]) -> int:
     """Appends the lines of a text file or folder; returns how many."""
     if any(not c.writable for c in table.columns.values()):
         raise TypeError("lines are for tables whose columns are all written")
@@ -97,3 +99,71 @@ def _append(db, table: Table, df: DataFrame) -> int:
         if keys:
             write._check_unique(view.load(table), keys)
         return written.count()
+
+
+class CopyReader(io.TextIOBase):
+    """Reads a result's lines, partition by partition."""
+
+    def __init__(self, query):
+        self._lines, self._rest = copy_lines(query), ""
+
+    def readable(self) -> bool:
+        return True
+
+    def readline(self, size: int = -1) -> str:
+        line = self._rest or next((text + "\n" for text in self._lines), "")
+        if 0 <= size < len(line):
+            line, self._rest = line[:size], line[size:]
+        else:
+            self._rest = ""
+        return line
+
+    def read(self, size: int = -1) -> str:
+        out = []
+        while size < 0 or sum(map(len, out)) < size:
+            piece = self.readline(-1 if size < 0 else size - sum(map(len, out)))
+            if not piece:
+                break
+            out.append(piece)
+        return "".join(out)
+
+
+class CopyWriter(io.TextIOBase):
+    """Takes lines in batches of ``BATCH``; closing it publishes all of them, leaving by an error none."""
+
+    BATCH = 50_000
+
+    def __init__(self, db, table: Table):
+        self._db, self._table, self._text, self._lines, self._frames = db, table, "", [], []
+        self.row_count = 0
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, text: str) -> int:
+        whole = (self._text + text).split("\n")
+        self._text = whole.pop()
+        self._lines += [line for line in whole if line != "\\."]
+        if len(self._lines) >= self.BATCH:
+            self._spill()
+        return len(text)
+
+    def _spill(self) -> None:
+        if self._lines:
+            path = f"{self._db.store.new_path(self._table)}-lines"
+            self._db.spark.createDataFrame([(x,) for x in self._lines], "value string").write.text(path)
+            self._frames.append(path)
+            self._lines = []
+
+    def __exit__(self, kind, *_):
+        if kind is None:
+            self.close()
+
+    def close(self) -> None:
+        if not self.closed:
+            if self._text:
+                self.write("\n")
+            self._spill()
+            if self._frames:
+                self.row_count = copy_from(self._db, self._table, self._frames)
+            super().close()

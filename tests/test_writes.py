@@ -203,3 +203,29 @@ def test_modifiers_and_row_types():
         tarn.array(tarn.array(tarn.text()))
     assert items.insert_type.fieldNames() == ["key", "n"] and items.update_type.fieldNames() == ["key", "n"]
     assert items.select_type.fieldNames() == ["id", "key", "n", "twice"]
+
+
+def test_copy_file_objects(db):
+    with db.copy_writer(plain) as f:
+        f.write("1\tx\n2\t")
+        f.write("\\N\n3\tz")
+    assert f.row_count == 3
+    lines = db.copy_reader(db.select_from(plain).select_all("plain").order_by("plain.k"))
+    assert lines.read(3) == "1\tx" and lines.readline() == "\n" and list(lines) == ["2\t\\N\n", "3\tz\n"]
+    with pytest.raises(ZeroDivisionError), db.copy_writer(plain) as f:
+        f.write("9\tlost\n")
+        1 / 0
+    assert len(db.select_from(plain).select("plain.k").execute()) == 3
+
+
+def test_now_is_when_the_transaction_started(db):
+    import time
+
+    def work(tx):
+        now = lambda: tx.select_from(items).select(lambda eb: eb.fn.now().as_("t")).take_value().execute()
+        first = now()
+        time.sleep(0.05)
+        return first, now()
+
+    first, second = db.transaction(work)
+    assert first == second
