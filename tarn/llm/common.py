@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text handed to Python is worked off in slices of about so many characters.
 SLICE_CHARS = 4_000_000
+#: Arrow batches of texts are about so large.
+BATCH_MB = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,14 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ``BATCH_MB``, however long they are; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "")).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_MB << 20:
+        spark.conf.set(key, str(BATCH_MB << 20))
+
+
 def worker_cache(name: str, build):
     """``build()`` once per Python process, however many tasks it serves."""
     holder = sys.modules.setdefault("tarn_worker_cache", types.ModuleType("tarn_worker_cache"))

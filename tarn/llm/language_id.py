@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -161,6 +161,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
     """``docs`` with ``lang_pred`` and ``score`` behind its columns; no shuffle."""
     if net is None:
         return docs.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
 

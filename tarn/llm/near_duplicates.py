@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, text_slices
+from .common import bounded_batches, stash, text_slices
 
 SHINGLE = 5
 ROWS, BANDS = 5, 26
@@ -265,6 +265,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for each row."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stash(_sketched(texts), "sketched")
     known = rows.where("key IS NOT NULL AND id IS NOT NULL")

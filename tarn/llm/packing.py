@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, worker_cache
+from .common import bounded_batches, text_slices, worker_cache
 from .token_counts import byte_characters
 
 SHARD_DOCS = 1024
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, line
     before it in its sequence; ``ids_crc32`` is over unsigned little-endian
     32-bit ids.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shards = max(1, docs.count() // SHARD_DOCS)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 from .language_id import held_out
 
 BINS = 64
@@ -157,6 +157,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.3, id_col: str =
             out = [s for lo, hi in text_slices(texts) for s in forest.scores(_with_statistics(texts[lo:hi])).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64())], ["id", "held_out", "score"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double")

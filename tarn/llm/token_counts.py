@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, worker_cache
+from .common import bounded_batches, text_slices, worker_cache
 
 #: A worker forgets its counts of words beyond so many entries.
 CACHE_WORDS = 800_000
@@ -161,6 +161,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
             n = [c for lo, hi in text_slices(texts) for c in merger.counts(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
