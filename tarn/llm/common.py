@@ -47,7 +47,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of at most ``BATCH_MB``, however long they are; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, "")).lower().removesuffix("b")
+    now = spark.conf.get(key).lower().removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_MB << 20:
         spark.conf.set(key, str(BATCH_MB << 20))
 
