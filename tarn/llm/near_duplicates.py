@@ -300,6 +300,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links)
-    own = rows.join(classes.select("key", "node"), "key", "left").join(roots, "node", "left")
-    out = own.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
+    linked = known.join(classes.select("key", "node"), "key").join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+    # rows without a set or an id join nothing, so that they gather in no task
+    alone = rows.where("key IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = linked.unionByName(alone).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
