@@ -14,10 +14,7 @@ def as_text(col: Column, kind: Kind, boolean: tuple[str, str] = ("t", "f")) -> C
     if kind.name == "boolean":
         return F.when(col, boolean[0]).when(~col, boolean[1])
     if kind.name in ("real", "double"):
-        plain = F.regexp_replace(col.cast("string"), r"\.0$", "")
-        size = F.abs(col)
-        whole = F.when((size < 1e15) & (col == F.floor(col)) & (size >= 1e7), F.format_string("%.0f", col.cast("double")))
-        return F.coalesce(whole, F.when((size >= 1e7) & (size < 1e15), F.regexp_replace(F.format_string("%.9f", col.cast("double")), r"\.?0+$", "")), plain)
+        return _float_text(col, 1e6 if kind.name == "real" else 1e15)
     if kind.name == "timestamp":
         return _moment_text(col)
     if kind.name == "timestamptz":
@@ -27,6 +24,24 @@ def as_text(col: Column, kind: Kind, boolean: tuple[str, str] = ("t", "f")) -> C
     return col.cast("string")
 
 
+def _float_text(col: Column, exponent_from: float) -> Column:
+    """Shortest digits, with an exponent below 0.0001 and from a size on; at least two exponent digits."""
+    text, size = col.cast("string"), F.abs(col)
+    digits = F.regexp_replace(text.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(text, r"\.0$", "")
+    plain = F.when(F.contains(text, F.lit("E")), digits).otherwise(short)
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1)
+    padded = F.lpad(F.regexp_replace(power, "-", ""), 2, "0")
+    signed = F.concat(mantissa, F.when(F.startswith(power, F.lit("-")), "e-").otherwise("e+"), F.when(F.length(power) > 3, F.regexp_replace(power, "-", "")).otherwise(padded))
+    # sizes that are written without an exponent here but with one there
+    moved = F.regexp_replace(F.regexp_replace(F.regexp_replace(short, r"\.", ""), r"^(-?[0-9])([0-9]*)$", "$1.$2"), r"\.?0*$", "")
+    spread = F.concat(moved, F.lit("e+"), F.lpad((F.length(F.regexp_replace(F.split_part(short, F.lit("."), F.lit(1)), "-", "")) - 1).cast("string"), 2, "0"))
+    within = (size < exponent_from) & ((size >= 1e-4) | (size == 0))
+    special = F.isnan(col.cast("double")) | (size == float("inf"))
+    return F.when(special, text).when(within, plain).when(F.contains(text, F.lit("E")), signed).otherwise(spread)
+
+
 def _moment_text(col: Column) -> Column:
     seconds = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     fraction = F.regexp_replace(F.date_format(col, "SSSSSS"), "0+$", "")

@@ -97,3 +97,13 @@ def test_tsquery_trees():
     assert parse("a & b | !c") == ("or", ("and", word("a"), word("b")), ("not", word("c")))
     assert parse("a <2> b") == ("phrase", word("a"), word("b"), 2)
     assert parse("'it''s':* & (x | y)") == ("and", word("it's", True), ("or", word("x"), word("y")))
+
+
+def test_texts_of_floats(spark):
+    shown = {0.0: "0", 1.0: "1", 2.5: "2.5", 1e-4: "0.0001", 1.5e-5: "1.5e-05", 12345678.25: "12345678.25", 1e14: "100000000000000", 1e15: "1e+15", -1.25e20: "-1.25e+20", 1e-300: "1e-300", float("inf"): "Infinity"}
+    rows = list(enumerate(shown))
+    got = run(spark, "i int, x double", rows, {"i": tarn.integer(), "x": tarn.double_precision()}, lambda eb: eb.fn.cast("t.x", "text"))
+    assert got == {i: shown[x] for i, x in rows}
+    reals = [(0, 999999.0, "999999"), (1, 1234567.0, "1.234567e+06"), (2, 1e6, "1e+06"), (3, 1.5, "1.5"), (4, 0.5e-3, "0.0005")]
+    got = run(spark, "i int, x float", [r[:2] for r in reals], {"i": tarn.integer(), "x": tarn.real()}, lambda eb: eb.fn.cast("t.x", "text"))
+    assert got == {i: t for i, _, t in reals}
