@@ -70,3 +70,15 @@ def text_slices(texts: list, chars: int = SLICE_CHARS):
             lo, size = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def give_back_memory() -> None:
+    """Returns what a task freed to the system, since workers live on beside the next stage's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, give_back_memory, text_slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -180,6 +180,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
             scores = [s if has else 0.0 for s, has in zip(scores, letters, strict=True)]
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns) - 2)] + ["lang_pred", "score"])
+        give_back_memory()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     found = plain.select("*", has_letter_of(plain, at)).mapInArrow(run, f"{fields}, lang_pred string, score double")

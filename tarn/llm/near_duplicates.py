@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stash, text_slices
+from .common import bounded_batches, give_back_memory, stash, text_slices
 
 SHINGLE = 5
 ROWS, BANDS = 5, 26
@@ -158,6 +158,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     pa.array([b if len(s) else None for b, s in zip(bands, sets, strict=True)], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "key", "bands"])
+        give_back_memory()
 
     return docs.mapInArrow(run, "id long, n_shingles long, key binary, bands array<long>")
 
@@ -173,6 +174,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
             for lo, hi in text_slices(texts, 500_000):
                 hashes = pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), hashes], ["node", "hashes"])
+        give_back_memory()
 
     return docs.mapInArrow(run, "node long, hashes binary")
 
@@ -195,6 +197,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok = 100 * common >= percent * (len(both) - common)
                 keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back_memory()
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))

@@ -28,12 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices, worker_cache
+from .common import bounded_batches, give_back_memory, text_slices, worker_cache
 from .token_counts import byte_characters
 
 SHARD_DOCS = 1024
 #: A worker forgets the ids of words beyond so many entries.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 #: Fixed value: where byte-level vocabularies split text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,6 +200,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, line
                         full = len(piece) == capacity
                         rows.append((name, (shard + k // 64) % shards, start, len(piece), len(ids), crc(piece) if full else None, None if full else piece.astype(encoder.type).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "shard", "start", "length", "doc_tokens", "crc", "ids"])
+        give_back_memory()
 
     def place(table):
         import pyarrow as pa
