@@ -1,16 +1,18 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
 Base labels stand for phrases whose words stand consecutively.  The method adds
-the labels of templates: a block (a line, in windows of ``BLOCK`` words every
-``BLOCK / 2``) meets a template if it holds at least ``containment`` of the
-template's distinct words.
+the labels of templates: a block (of the words of the whole document, across its
+lines, in windows of ``BLOCK`` words every ``BLOCK / 2``) meets a template if a
+stretch of it holds at least ``containment`` of the template's distinct words.  A
+stretch has at most as many words as the template divided by ``containment``, so
+words scattered over a block are no template, and wrapped lines change nothing.
 
 Words are ordered by how many documents hold them, rare ones first, counted
 over all documents.  Of a template of ``t`` words of which ``need`` must occur,
 one of the first ``t - need + 1`` has to (prefix filter); the block needs
 ``need`` template words at all (length filter), and what follows a common word
 on both sides must suffice for the rest (positional filter).  What passes is
-verified on the full sets.  The filters lose nothing, so the result is exact.
+verified on the full sets, and then on the stretches.  The filters lose nothing, so the result is exact.
 
 The templates are a parameter; only their words (counts and ranks) and index
 are sent to all executors.
@@ -18,7 +20,7 @@ are sent to all executors.
 Defined cases: null text counts as empty: no words, no labels, score 0;
 repeated rows get equal results; an empty table gives an empty table; further
 columns are ignored.  The score is 1 if a base phrase occurs, else the largest
-share of a template that a meeting block holds, else 0.
+share of a template that a meeting stretch holds, else 0.
 """
 
 from __future__ import annotations
@@ -90,21 +92,25 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
     for number, (label, text) in enumerate(templates):
         ranks = sorted(rank[w] for w in template_words(text))
         need = math.ceil(containment * len(ranks) - 1e-9)
+        stretch = math.ceil(len(re.findall("[a-z0-9]+", text.lower())) / containment - 1e-9)
+        if stretch > BLOCK // 2 + 1:
+            raise ValueError(f"a template of more words than blocks of {BLOCK} are sure to hold: {text!r}")
         for place in range(len(ranks) - need + 1):
-            index.append((ranks[place], number, label, place, len(ranks), need, ranks))
+            index.append((ranks[place], number, label, place, len(ranks), need, ranks, stretch))
             prefixes.add(order[ranks[place]])
-    columns = "rank int, template int, label string, t_place int, t_size int, need int, t_ranks array<int>"
+    columns = "rank int, template int, label string, t_place int, t_size int, need int, t_ranks array<int>, stretch int"
     small = F.broadcast(spark.createDataFrame(index, columns))  # the size of the templates
 
-    may_meet = worded.where(f"arrays_overlap(words, {_array(map(quoted, sorted(prefixes)), 'string')})").select("id", "key", "low").distinct()
-    lines = may_meet.select("id", "key", F.explode(F.split("low", "\n")).alias("line")).withColumn("words", F.expr(_words_sql("line"))).where("size(words) > 0")
+    may_meet = worded.where(f"arrays_overlap(words, {_array(map(quoted, sorted(prefixes)), 'string')})").select("id", "key", "low").distinct().withColumn("words", F.expr(_words_sql("low")))
     step = BLOCK // 2
-    blocks = lines.select("id", "key", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {step} - 1, 0) div {step}), k -> slice(words, k * {step} + 1, {BLOCK}))")).alias("block"))
-    ranked = f"sort_array(transform(array_intersect(block, {_array(map(quoted, order), 'string')}), w -> cast(array_position({_array(map(quoted, order), 'string')}, w) - 1 as int)))"
-    sets = blocks.select("id", "key", F.expr(ranked).alias("ranks"))
-    pairs = sets.select("id", "key", "ranks", F.posexplode("ranks").alias("place", "rank")).join(small, "rank")
+    blocks = may_meet.select("id", "key", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {step} - 1, 0) div {step}), k -> slice(words, k * {step} + 1, {BLOCK}))")).alias("block"))
+    # the rank of each word of the block, -1 for words of no template
+    placed = blocks.select("id", "key", F.expr(f"transform(block, w -> cast(array_position({_array(map(quoted, order), 'string')}, w) - 1 as int))").alias("block"))
+    sets = placed.select("id", "key", "block", F.expr("sort_array(array_distinct(filter(block, r -> r >= 0)))").alias("ranks"))
+    pairs = sets.select("id", "key", "block", "ranks", F.posexplode("ranks").alias("place", "rank")).join(small, "rank")
     pairs = pairs.where("size(ranks) >= need AND 1 + least(t_size - t_place - 1, size(ranks) - place - 1) >= need")
-    met = pairs.withColumn("common", F.expr("size(array_intersect(ranks, t_ranks))")).where("common >= need")
+    met = pairs.where("size(array_intersect(ranks, t_ranks)) >= need")
+    met = met.withColumn("common", F.expr("array_max(transform(sequence(1, size(block)), i -> size(array_intersect(slice(block, i, stretch), t_ranks))))")).where("common >= need")
     met = met.groupBy("id", "key").agg(F.collect_set("label").alias("own_labels"), F.max(F.col("common") / F.col("t_size")).alias("own_score"))
 
     starts = [_starts_sql("w", phrase) for phrase in base]

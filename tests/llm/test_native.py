@@ -143,6 +143,24 @@ def test_license_edges(no_docs, twice, texts):
     assert licenses.scan(twice).count() == 2 * len(texts) + 2
 
 
+def license_labels(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["labels"] for r in sorted(licenses.scan(rows).collect())]
+
+
+def test_wrapped_templates_are_met(spark):
+    wrapped = [
+        "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met",
+        " ".join(["filler"] * 37) + "\n * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0",
+    ]
+    assert license_labels(spark, wrapped) == ["mit", "bsd", "mpl-2.0"]
+
+
+def test_scattered_words_are_no_template(spark):
+    assert license_labels(spark, ["released\nfiller one two three four\nunder the old terms of\nsome mit people with a license"]) == [""]
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number)]
     return (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
