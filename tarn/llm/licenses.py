@@ -6,6 +6,7 @@ lines, in windows of ``BLOCK`` words every ``BLOCK / 2``) meets a template if a
 stretch of it holds at least ``containment`` of the template's distinct words.  A
 stretch has at most as many words as the template divided by ``containment``, so
 words scattered over a block are no template, and wrapped lines change nothing.
+It also holds all of ``names`` that the template has (license names, versions, nc).
 
 Words are ordered by how many documents hold them, rare ones first, counted
 over all documents.  Of a template of ``t`` words of which ``need`` must occur,
@@ -53,6 +54,9 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+#: Fixed value: words that tell one license from another; a template that has some is met only with all of them.
+NAMES = frozenset(["apache", "cc", "gnu", "mit", "mozilla", "nc", "2", "3"])
+
 
 def template_words(text: str) -> list[str]:
     return sorted(set(re.findall("[a-z0-9]+", text.lower())))
@@ -74,7 +78,7 @@ def _starts_sql(words: str, phrase: str) -> str:
     return f"IF(size({words}) < {n} OR NOT array_contains({words}, {quoted(parts[0])}), cast(array() as array<int>), filter(sequence(0, greatest(size({words}) - {n}, 0)), i -> {same}))"
 
 
-def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8, names: frozenset[str] = NAMES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     # lower() equals lower-casing A-Z for these ASCII words, but for the Kelvin sign, which would become a k
     low = F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "K", "é"))
@@ -96,9 +100,9 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
         if stretch > BLOCK // 2 + 1:
             raise ValueError(f"a template of more words than blocks of {BLOCK} are sure to hold: {text!r}")
         for place in range(len(ranks) - need + 1):
-            index.append((ranks[place], number, label, place, len(ranks), need, ranks, stretch))
+            index.append((ranks[place], number, label, place, len(ranks), need, ranks, stretch, [r for r in ranks if order[r] in names]))
             prefixes.add(order[ranks[place]])
-    columns = "rank int, template int, label string, t_place int, t_size int, need int, t_ranks array<int>, stretch int"
+    columns = "rank int, template int, label string, t_place int, t_size int, need int, t_ranks array<int>, stretch int, t_names array<int>"
     small = F.broadcast(spark.createDataFrame(index, columns))  # the size of the templates
 
     may_meet = worded.where(f"arrays_overlap(words, {_array(map(quoted, sorted(prefixes)), 'string')})").select("id", "key", "low").distinct().withColumn("words", F.expr(_words_sql("low")))
@@ -109,8 +113,9 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
     sets = placed.select("id", "key", "block", F.expr("sort_array(array_distinct(filter(block, r -> r >= 0)))").alias("ranks"))
     pairs = sets.select("id", "key", "block", "ranks", F.posexplode("ranks").alias("place", "rank")).join(small, "rank")
     pairs = pairs.where("size(ranks) >= need AND 1 + least(t_size - t_place - 1, size(ranks) - place - 1) >= need")
-    met = pairs.where("size(array_intersect(ranks, t_ranks)) >= need")
-    met = met.withColumn("common", F.expr("array_max(transform(sequence(1, size(block)), i -> size(array_intersect(slice(block, i, stretch), t_ranks))))")).where("common >= need")
+    met = pairs.where("size(array_intersect(ranks, t_ranks)) >= need AND size(array_except(t_names, ranks)) = 0")
+    stretches = "transform(sequence(1, size(block)), i -> slice(block, i, stretch))"
+    met = met.withColumn("common", F.expr(f"array_max(transform(filter({stretches}, s -> size(array_except(t_names, s)) = 0), s -> size(array_intersect(s, t_ranks))))")).where("common >= need")
     met = met.groupBy("id", "key").agg(F.collect_set("label").alias("own_labels"), F.max(F.col("common") / F.col("t_size")).alias("own_score"))
 
     starts = [_starts_sql("w", phrase) for phrase in base]

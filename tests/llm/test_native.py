@@ -161,6 +161,14 @@ def test_scattered_words_are_no_template(spark):
     assert license_labels(spark, ["released\nfiller one two three four\nunder the old terms of\nsome mit people with a license"]) == [""]
 
 
+def test_templates_need_their_names(spark):
+    other = ["Released under the Apache License", "Licensed under CC BY 4.0", "Licensed under the Mozilla Public License, Version 2.0", "This work is licensed under the GNU General Public License, version 2"]
+    own = ["Released under MIT License", "Licensed under CC BY-NC 4", "Licensed under Apache License, Version 2.0", "work is licensed under the GNU General Public License, version 3"]
+    assert license_labels(spark, other) == ["", "cc-by", "", "gpl"]
+    assert license_labels(spark, own) == ["mit", "cc-by,cc-by-nc", "apache-2.0", "gpl,gpl-3.0"]
+    assert license_labels(spark, ["license one two three released four five six under seven eight nine the ten mit"]) == [""]
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number)]
     return (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
