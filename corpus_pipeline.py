@@ -18,6 +18,8 @@ from tarn.llm.common import shared_dir, stash
 from tarn.llm.queries import PSEUDONYM_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents are near-duplicates from this similarity of their shingles (in percent); op6_near_duplicates has a value of its own.
+NEAR_PERCENT = 80
 #: Decisions on more rows than this are joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -36,7 +38,7 @@ def language(spark, docs, sf_dir):
 def near_dedup(spark, docs, sf_dir):
     """Keeps the document of least id of each near-duplicate group; rows of one id count as one document."""
     docs = docs.select(COLUMNS)
-    groups = stash(near_duplicates.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    groups = stash(near_duplicates.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "groups")
     dropped = groups.where("NOT kept").select("doc_id").distinct()
     left = docs.join(_small(dropped), "doc_id", "left_anti")
     if not groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -142,3 +142,12 @@ def test_pipeline_run(spark, docs, tmp_path):
     docs.select(corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_near_dedup_takes_similarity_of_0_8(spark):
+    own = [f"w{i}" for i in range(104)]  # 100 shingles, of which two changes leave 90: 90 of 110
+    near = ["changed" if i in (30, 60) else w for i, w in enumerate(own)]
+    far = ["other" if i in (20, 40, 60) else w for i, w in enumerate(own)]  # 85 of 115
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate([own, near, far])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
