@@ -36,7 +36,7 @@ _SECRET_NAME = r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key|access[_-]?key)[
 
 #: Patterns of candidates, tried in this order at each place.
 PATTERNS = [
-    rf"(?<![A-Za-z0-9_])(?:{_SECRET_NAME})[A-Za-z0-9+/_=.-]{{6,256}}",
+    rf"(?<![A-Za-z0-9_])(?:{_SECRET_NAME})[A-Za-z0-9+/_=.-]{{6,}}+",
     r"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])",
     r"(?<![A-Za-z0-9_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_-])",

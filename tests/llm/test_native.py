@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -208,6 +209,14 @@ def test_pseudonyms_keep_their_formats(spark):
     assert [r["kinds"] for r in got] == ["card", "email", "date", "phone", "iban", "ssn", "ip", "secret", "secret"]
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    value = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=3000))
+    (got,) = one(spark, f"token={value} end")
+    assert re.fullmatch("token=[A-Za-z0-9]{3000} end", got["text"]) and got["n"] == 1
+    out = got["text"][6:-4]
+    assert not any(value[i : i + 12] in out for i in range(0, 2989))
+
+
 def test_what_is_not_valid_stays(spark):
     clean = ["card 4539148803436468", "ip 999.1.1.1", "2023-02-29 31/31/2020", "000-12-3456", "plain text, 42 things = 7 @ home", "DE00 3704 0044 0532 0130 00", None, ""]
     assert [(r["text"], r["n"]) for r in one(spark, *clean)] == [(t, 0) for t in clean]
