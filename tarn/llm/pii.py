@@ -18,6 +18,10 @@ a year is a leap year, and whether a day is above 12 (or, with its month, above
 All of it is SQL expressions over the row itself; texts without a digit, ``@``
 or ``=`` are only looked at.
 
+A run of numbers or upper-case words that is not valid as a whole is searched at
+its separators: for IBANs, for cards in usual and then in any groups of three or
+more digits (the last may be shorter), and for dates and phones between them.
+
 Defined cases: null text stays null with no finds; candidates that fail their
 validation stay; repeated rows get equal results; an empty table gives an empty
 table; all other columns are kept.
@@ -34,6 +38,9 @@ ROUNDS = 10
 
 _SECRET_NAME = r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?|(?:AKIA|ghp_|sk-)"
 
+#: A run of words or numbers does not take the beginning of a date, address, number with points, e-mail or secret behind it.
+_NOT_OF_NEXT = r"(?!(?<=[ -][0-9]{1,2})/[0-9])(?!(?<=[ -][0-9]{1,3})\.[0-9])(?!(?<= [0-9]{3,4})-[0-9])(?![A-Za-z0-9_.%+-]{0,64}+@)(?!(?<=PASSWORD|PASSWD|PWD|TOKEN|SECRET|KEY)[\"']?\s{0,2}[=:])"
+
 #: Patterns of candidates, tried in this order at each place.
 PATTERNS = [
     rf"(?<![A-Za-z0-9_])(?:{_SECRET_NAME})[A-Za-z0-9+/_=.-]{{6,}}+",
@@ -42,12 +49,21 @@ PATTERNS = [
     r"(?<![A-Za-z0-9_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_-])",
     r"(?<![A-Za-z0-9_/.])[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}(?![A-Za-z0-9_/])",
     r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
-    r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
-    r"(?<![A-Za-z0-9_+-])(?:[0-9][ -]?){12,18}[0-9](?![A-Za-z0-9_-])",
+    rf"(?<![A-Za-z0-9_])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}}[A-Z0-9 ]*(?<! )(?![A-Za-z0-9_]){_NOT_OF_NEXT}",
+    rf"(?<![A-Za-z0-9_+-])(?=(?:[0-9][ -]?){{12}}[0-9])[0-9][0-9 -]*(?<=[0-9])(?![A-Za-z0-9_-]){_NOT_OF_NEXT}",
     r"(?<![A-Za-z0-9_+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_-])",
     r"(?<![A-Za-z0-9_+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![A-Za-z0-9_-])",
 ]
 CANDIDATE = "|".join(PATTERNS)
+#: What a run of numbers may hold besides cards: dates, social security numbers, phones.
+WITHIN = "|".join([PATTERNS[3], PATTERNS[5], PATTERNS[8]])
+#: Groups of numbers inside a longer run that may be a card, the usual ones first.
+CARDS = [
+    r"^[2-6](?:[0-9]{12,18}|[0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{3}([ -])[0-9]{3}\3[0-9]{3}\3[0-9]{3})$",
+    r"^(?:[0-9]{3,}[ -])*[0-9]+$",
+]
+#: Most groups of an IBAN (34 letters and digits by fours) or of such a card.
+MOST_GROUPS = 9
 
 
 def _like(text: str, pattern: str) -> str:
@@ -166,6 +182,42 @@ def pseudonym_sql(key: str) -> str:
     return let("kind", kind_sql(), f"named_struct('kind', kind, 'out', IF(kind IS NULL, m, {whole}))")
 
 
+def _parted(text: str, unit: str, valid: str) -> str:
+    """``text`` as ``array<struct(t, f)>``: what is ``valid`` (of ``g``, units with single separators between) is marked ``f``.
+
+    Of what begins at one place the longest counts, of what overlaps the first.
+    """
+    joined = "array_join(slice(u, {0} + 1, {1} - {0}), '')"
+    some = f"filter(sequence(i + 1, least(size(u), i + {MOST_GROUPS})), j -> {let('g', f"regexp_replace({joined.format('i', 'j')}, '[ -]+$', '')", valid)})"
+    best = f"filter(transform(sequence(0, size(u) - 1), i -> named_struct('i', i, 'j', coalesce(array_max({some}), 0))), b -> b.j > 0)"
+    picked = f"aggregate({best}, cast(array() as array<struct<i: int, j: int>>), (a, b) -> IF(b.i < coalesce(get(a, size(a) - 1).j, 0), a, concat(a, array(b))))"
+    part = lambda t, f: f"named_struct('t', {t}, 'f', {f})"
+    plain = let("lo", "IF(k = 0, 0, coalesce(get(p, k - 1).j, 0))", let("hi", "IF(k < size(p), get(p, k).i, size(u))", joined.format("lo", "hi")))
+    held = joined.format("get(p, k).i", "get(p, k).j")
+    found = let("h", held, f"array({part("regexp_replace(h, '[ -]+$', '')", 'true')}, {part("regexp_extract(h, '[ -]*$', 0)", 'false')})")
+    none = f"array({part(text, 'false')})"
+    parts = f"flatten(transform(sequence(0, size(p)), k -> concat(array({part(plain, 'false')}), IF(k < size(p), {found}, cast(array() as array<struct<t: string, f: boolean>>)))))"
+    return let("u", f"regexp_extract_all({text}, {quoted(unit)}, 0)", f"IF(size(u) = 0, {none}, {let('p', picked, f'IF(size(p) = 0, {none}, {parts})')})")
+
+
+def parts_sql() -> str:
+    """A candidate ``m`` as ``array<struct(t, f)>``; parts marked ``f`` are candidates of their own."""
+    whole = "array(named_struct('t', m, 'f', true))"
+    iban = f"g rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]+$' AND length(replace(g, ' ', '')) between 15 AND 34 AND {_mod97("concat(substring(replace(g, ' ', ''), 5), substring(g, 1, 4))")} = 1"
+    digits = _DIGITS.replace("(m,", "(g,")
+    card = lambda groups: f"{_like('g', groups)} AND length({digits}) between 13 AND 19 AND {_luhn_sum(digits, 1)} % 10 = 0"
+
+    def then(parts: str, split: str) -> str:
+        return f"flatten(transform({parts}, q -> IF(q.f OR q.t = '', array(q), {split})))"
+
+    parts = f"IF(m rlike '^[A-Z]', {_parted('m', '[A-Z0-9]+ *', iban)}, array(named_struct('t', m, 'f', false)))"
+    for groups in CARDS:
+        parts = then(parts, _parted("q.t", "[ -]*[A-Z0-9]+[ -]*", card(groups)))
+    rest = f"flatten(zip_with(split(q.t, {quoted(f'(?:{WITHIN})')}, -1), regexp_extract_all(q.t, {quoted(f'(?:{WITHIN})')}, 0), (a, b) -> array(named_struct('t', coalesce(a, ''), 'f', false), named_struct('t', coalesce(b, ''), 'f', b IS NOT NULL))))"
+    run = _like("m", "^(?:[A-Z]{2}[0-9]{2}[A-Z0-9 ]+|[0-9][0-9 -]*)$") + f" AND length(m) > 12 AND ({kind_sql()}) IS NULL"
+    return f"IF({run}, {then(parts, rest)}, {whole})"
+
+
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and ``n_pii`` and ``pii_kinds`` behind its columns.
 
@@ -175,11 +227,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = f"c{columns.index(text_col)}"
     candidates = F.when(F.col(at).rlike("[0-9@=]"), F.regexp_extract_all(F.col(at), F.lit(f"(?:{CANDIDATE})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = plain.withColumn("finds", candidates).withColumn("finds", F.expr(f"IF(size(finds) > 0, transform(finds, m -> {pseudonym_sql(key)}), NULL)"))
+    found = plain.withColumn("finds", candidates).withColumn("finds", F.expr(f"IF(size(finds) > 0, transform(finds, m -> {parts_sql()}), NULL)"))
+    made = f"transform(ps, q -> IF(q.f, {let('m', 'q.t', pseudonym_sql(key))}, named_struct('kind', cast(NULL as string), 'out', q.t)))"
+    found = found.withColumn("finds", F.expr(f"IF(finds IS NULL, NULL, transform(finds, ps -> {made}))"))
     pieces = f"split({at}, {quoted(f'(?:{CANDIDATE})')}, -1)"
     # pieces and finds alternate, a piece first and last
-    joined = f"IF(finds IS NULL, {at}, array_join(zip_with({pieces}, finds, (p, f) -> concat(p, coalesce(f.out, ''))), ''))"
-    valid = "filter(coalesce(finds, array()), f -> f.kind IS NOT NULL)"
+    joined = f"IF(finds IS NULL, {at}, array_join(zip_with({pieces}, finds, (p, f) -> concat(p, coalesce(array_join(transform(f, x -> x.out), ''), ''))), ''))"
+    valid = "filter(flatten(coalesce(finds, array())), f -> f.kind IS NOT NULL)"
     out = [F.expr(joined).alias(c) if c == at else F.col(c) for c in plain.columns]
     counted = F.expr(f"cast(size({valid}) as bigint)").alias("n_pii"), F.expr(f"array_join(array_sort(array_distinct(transform({valid}, f -> f.kind))), ',')").alias("pii_kinds")
     return found.select(*out, *counted).toDF(*columns, "n_pii", "pii_kinds")

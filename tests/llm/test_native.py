@@ -209,6 +209,20 @@ def test_pseudonyms_keep_their_formats(spark):
     assert [r["kinds"] for r in got] == ["card", "email", "date", "phone", "iban", "ssn", "ip", "secret", "secret"]
 
 
+def test_numbers_beside_numbers_are_found(spark):
+    texts = [
+        "4111 1111 1111 1111 12/25", "4111 1111 1111 1111 123", "order 12 4111111111111111", "1234 5678 4111 1111 1111 1111 99",
+        "BE68 5390 0754 7034 EUR", "AB13 BE68 5390 0754 7034 EUR", "AB12 4111 1111 1111 1111 X", "555-123-4567 4111-1111-1111-1111 2024-03-05", "12 41111111 11111111 12",
+        "4111 1111 1111 1111 12/25/1999", "4111 1111 1111 1111 10.20.30.40", "AB12 CDEF GHIJ JOHN.DOE@example.com", "4111 1111 1111 1111 " + "7 " * 9000,
+    ]
+    got = one(spark, *texts)
+    assert [r["kinds"] for r in got] == ["card"] * 4 + ["iban", "iban", "card", "card,date,phone", "card", "card,date", "card,ip", "email", "card"]
+    for t, r in zip(texts, got, strict=True):
+        assert "1111 1111" not in r["text"] and "11111111" not in r["text"] and "5390" not in r["text"] and "123-4567" not in r["text"]
+        assert re.sub("[0-9]", "0", t)[:4] == re.sub("[0-9]", "0", r["text"])[:4] and (len(t) == len(r["text"]) or "ip" in r["kinds"])
+    assert got[0]["text"].endswith(" 12/25") and got[2]["text"].startswith("order 12 4") and got[4]["text"].endswith(" EUR") and got[5]["text"].startswith("AB13 BE")
+
+
 def test_long_secrets_are_replaced_whole(spark):
     value = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789", k=3000))
     (got,) = one(spark, f"token={value} end")
