@@ -29,9 +29,9 @@ def _small(df):
 
 
 def language(spark, docs, sf_dir):
-    """Rejects documents in no language (null, empty, or without a letter); fills missing languages."""
+    """Rejects documents in no language (null, empty, or without a letter); fills missing languages (``und`` if there is nothing to learn from)."""
     docs = docs.select(COLUMNS)
-    found = language_id.identify(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    found = language_id.identify(docs, language_id.fit(docs)).where(F.col("text").rlike(r"\p{L}"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 

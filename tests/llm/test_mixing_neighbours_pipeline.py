@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_counts_and_packing import check_packed
 
 import corpus_pipeline
@@ -151,3 +152,10 @@ def test_near_dedup_takes_similarity_of_0_8(spark):
     rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate([own, near, far])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_language_keeps_unlabelled_documents(spark, docs, texts):
+    plain = docs.select(corpus_pipeline.COLUMNS).withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.language(spark, plain, "").collect()
+    assert {r["doc_id"] for r in found} == {i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    assert {r["lang"] for r in found} == {"und"}
