@@ -140,25 +140,27 @@ def pack_shard(lengths: list[int], capacity: int, linear: float, quadratic: floa
     n_seq = -(-sum(lengths) // capacity)
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(n_seq)]
     room = [capacity] * n_seq
-    heap = [(0.0, s) for s in range(n_seq)]
+    # sequences by cost for each amount of room, and the least cost of each
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    heaps[capacity] = [(0.0, s) for s in range(n_seq)]
+    least = np.full(capacity + 1, np.inf)
+    least[capacity] = 0.0 if n_seq else np.inf
     left_over = []
     for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
-        n, passed = lengths[piece], []
-        while heap and room[heap[0][1]] < n:
-            passed.append(heapq.heappop(heap))
-            if len(passed) >= 64:
-                break
-        if heap and room[heap[0][1]] >= n:
-            cost, s = heapq.heappop(heap)
-            sequences[s].append((piece, 0, n))
-            room[s] -= n
-            passed.append((cost + linear * n + quadratic * n * n, s))
-        else:
+        n = lengths[piece]
+        best = least[n:].min()
+        if best == np.inf:
             left_over.append(piece)
-        for entry in passed:
-            if room[entry[1]]:
-                heapq.heappush(heap, entry)
-    gaps = [s for _, s in sorted(heap)]
+            continue
+        r = min((n + int(k) for k in np.flatnonzero(least[n:] == best)), key=lambda k: heaps[k][0][1])
+        cost, s = heapq.heappop(heaps[r])
+        least[r] = heaps[r][0][0] if heaps[r] else np.inf
+        sequences[s].append((piece, 0, n))
+        room[s] -= n
+        if room[s]:
+            heapq.heappush(heaps[room[s]], (cost + linear * n + quadratic * n * n, s))
+            least[room[s]] = heaps[room[s]][0][0]
+    gaps = [s for _, s in sorted(entry for heap in heaps for entry in heap)]
     at = 0
     for piece in left_over:
         done = 0

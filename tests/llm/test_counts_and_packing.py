@@ -83,3 +83,10 @@ def test_pack_shard(lengths):
             seen[piece] += b - a
     assert [seen[i] for i in range(len(lengths))] == lengths
     assert len(sequences) == -(-sum(lengths) // 1024)
+
+
+def test_pack_shard_looks_past_all_full_sequences():
+    lengths = [800] + [300] * 300 + [200]
+    sequences = packing.pack_shard(lengths, 1024, 1.0, 1 / 1024)
+    assert [p for s in sequences for p in s if p[0] == 301] == [(301, 0, 200)]
+    assert any({p[0] for p in s} >= {0, 301} for s in sequences)
