@@ -8,6 +8,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handed to Python is worked off in slices of about so many characters.
 SLICE_CHARS = 4_000_000
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set."""
+    """The folder that driver and executors share; on one machine (``local``) a temporary one if none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             where = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             where = tempfile.mkdtemp(prefix="tarn-")
             spark.sparkContext.setCheckpointDir(where)
@@ -52,6 +55,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_MB << 20))
 
 
+def without(df: DataFrame, results: list[str], text_col: str) -> DataFrame:
+    """``df`` without columns that are named like a result (in any case); the column of texts stays."""
+    names = {r.lower() for r in results}
+    if text_col.lower() in names:
+        raise ValueError(f"the column of texts is named like a result: {text_col}")
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in names])
+
+
 def worker_cache(name: str, build):
     """``build()`` once per Python process, however many tasks it serves."""
     holder = sys.modules.setdefault("tarn_worker_cache", types.ModuleType("tarn_worker_cache"))

@@ -9,7 +9,8 @@ the symbols go through ``ROUNDS`` rounds of a Feistel network: in turn one half
 is shifted, modulo the radices, by a keyed SHA-256 of the other half.  That is
 a permutation within the format: the outcome is a valid value of the same
 shape, check digits are made anew, separators stay, and equal values have equal
-pseudonyms in all documents.  Whoever holds the key can reverse it.
+pseudonyms in all documents, whatever separators or order of a date's parts they
+are written with.  Whoever holds the key can reverse it.
 
 Kept as they are: a card's first digit, country codes, e-mail domains, whether
 a year is a leap year, and whether a day is above 12 (or, with its month, above
@@ -24,7 +25,10 @@ more digits (the last may be shorter), and for dates and phones between them.
 
 Defined cases: null text stays null with no finds; candidates that fail their
 validation stay; repeated rows get equal results; an empty table gives an empty
-table; all other columns are kept.
+table; all other columns are kept, but columns of the input that are named like
+a result (``n_pii``, ``pii_kinds``, in any case) give way to it.  Texts may be of
+any length: repetitions in the patterns are of single characters, possessive or
+bounded, so matching neither recurses nor is tried anew from within a run.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .native import let, quoted
 
 ROUNDS = 10
@@ -44,7 +49,7 @@ _NOT_OF_NEXT = r"(?!(?<=[ -][0-9]{1,2})/[0-9])(?!(?<=[ -][0-9]{1,3})\.[0-9])(?!(
 #: Patterns of candidates, tried in this order at each place.
 PATTERNS = [
     rf"(?<![A-Za-z0-9_])(?:{_SECRET_NAME})[A-Za-z0-9+/_=.-]{{6,}}+",
-    r"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![A-Za-z0-9_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_]|\.[0-9])",
     r"(?<![A-Za-z0-9_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_-])",
     r"(?<![A-Za-z0-9_/.])[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}(?![A-Za-z0-9_/])",
@@ -115,42 +120,46 @@ def symbols_sql() -> str:
     ``pre`` stands before the symbol; ``k`` says how value ``v`` (below radix
     ``r``) is written: 0 as the character ``a + v``, 1 as a hexadecimal digit,
     2 as the number ``a + v`` in ``b`` places, 3 and 4 as a leap and a common
-    year, 5 as an area of a social security number, -1 not at all.
+    year, 5 as an area of a social security number, -1 not at all.  Symbols with
+    a radix above 1 come first.
     """
-    fixed = _symbol("c", -1, "1", "0")
-    digit = _symbol("''", 0, "10", "ascii(c) - 48", "48")
-    split_digit = f"CASE WHEN c between '0' AND '1' THEN {_symbol("''", 0, '2', 'ascii(c) - 48', '48')} ELSE {_symbol("''", 0, '8', 'ascii(c) - 50', '50')} END"
-    lower = _symbol("''", 0, "26", "ascii(c) - 97", "97")
-    upper = _symbol("''", 0, "26", "ascii(c) - 65", "65")
-    hexed = _symbol("''", 1, "16", "instr('0123456789abcdef', c) - 1")
-    any_char = f"CASE WHEN c between '0' AND '9' THEN {digit} WHEN c between 'a' AND 'z' THEN {lower} WHEN c between 'A' AND 'Z' THEN {upper} ELSE {fixed} END"
-    chars = "split(m, '')"
-
-    def from_to(lo: str, hi: str, inner: str) -> str:
-        return let("lo", lo, let("hi", hi, f"transform({chars}, (c, i) -> CASE WHEN i < lo OR i >= hi THEN {fixed} ELSE {inner} END)"))
-
+    digit = _symbol("pre", 0, "10", "ascii(c) - 48", "48")
+    split_digit = f"CASE WHEN c between '0' AND '1' THEN {_symbol('pre', 0, '2', 'ascii(c) - 48', '48')} ELSE {_symbol('pre', 0, '8', 'ascii(c) - 50', '50')} END"
+    lower = _symbol("pre", 0, "26", "ascii(c) - 97", "97")
+    upper = _symbol("pre", 0, "26", "ascii(c) - 65", "65")
+    hexed = _symbol("pre", 1, "16", "instr('0123456789abcdef', c) - 1")
+    any_char = f"CASE WHEN c between '0' AND '9' THEN {digit} WHEN c between 'a' AND 'z' THEN {lower} ELSE {upper} END"
+
+    def from_to(lo: str, hi: str, moving: str, inner: str) -> str:
+        """A symbol for each ``moving`` character from ``lo`` to ``hi``, with what stands before it, and one for the rest."""
+        body = "substring(m, lo + 1, hi - lo)"
+        each = f"transform(regexp_extract_all({body}, '{moving}', 0), (c, i) -> {let('pre', "IF(i = 0, concat(substring(m, 1, lo), gaps[i]), gaps[i])", inner)})"
+        last = _symbol("IF(size(gaps) = 1, m, concat(element_at(gaps, -1), substring(m, hi + 1)))", -1, "1", "0")
+        return let("lo", lo, let("hi", hi, let("gaps", f"split({body}, '{moving}', -1)", f"concat({each}, array({last}))")))
+
+    letters = "[0-9A-Za-z]"
     name = f"length(regexp_extract(m, {quoted(f'^(?:{_SECRET_NAME})')}, 0))"
-    secret = f"IF({_like(f'substring(m, {name} + 1)', '^[0-9a-f]+$')}, {from_to(name, 'length(m)', hexed)}, {from_to(name, 'length(m)', any_char)})"
+    secret = f"IF({_like(f'substring(m, {name} + 1)', '^[0-9a-f]+$')}, {from_to(name, 'length(m)', '[0-9a-f]', hexed)}, {from_to(name, 'length(m)', letters, any_char)})"
     phone_start = "IF(startswith(m, '+'), length(regexp_extract(m, '^[+](?:1|[0-9]{1,3}(?=[^0-9])|[0-9]{2})', 0)), IF(m rlike '^1[ .-]', 1, 0))"
-    phone = from_to(phone_start, "length(m)", f"CASE WHEN c between '0' AND '9' THEN {split_digit} ELSE {fixed} END")
-    card = from_to("1", "length(m) - 1", f"CASE WHEN c between '0' AND '9' THEN {digit} ELSE {fixed} END")
+    phone = from_to(phone_start, "length(m)", "[0-9]", split_digit)
+    card = from_to("1", "length(m) - 1", "[0-9]", digit)
     ip = f"transform(split(m, '[.]'), (o, i) -> {_symbol("IF(i = 0, '', '.')", 2, '256', 'o', '0', '1')})"
     parts = "split(m, '-')"
     ssn = f"array({_symbol("''", 5, '898', f'{parts}[0] - IF({parts}[0] > 666, 2, 1)')}, {_symbol(quoted('-'), 2, '99', f'{parts}[1] - 1', '1', '2')}, {_symbol(quoted('-'), 2, '9999', f'{parts}[2] - 1', '1', '4')})"
     leap = "(t.y % 4 = 0 AND t.y <> 1900)"
     year = lambda pre: f"IF({leap}, {_symbol(pre, 3, '49', '(t.y - 1904) div 4')}, {_symbol(pre, 4, '151', 'IF(t.y = 1900, 0, 1 + ((t.y - 1901) div 4) * 3 + (t.y - 1901) % 4)')})"
-    month = lambda pre, at: _symbol(pre, 2, "IF(t.d > 28, 1, 12)", "IF(t.d > 28, 0, t.mo - 1)", "IF(t.d > 28, t.mo, 1)", f"length(p[{at}])")
-    day = lambda pre, at: _symbol(pre, 2, "CASE WHEN t.d > 28 THEN 1 WHEN t.d > 12 THEN 16 ELSE 12 END", "CASE WHEN t.d > 28 THEN 0 WHEN t.d > 12 THEN t.d - 13 ELSE t.d - 1 END", "CASE WHEN t.d > 28 THEN t.d WHEN t.d > 12 THEN 13 ELSE 1 END", f"length(p[{at}])")
-    mark = "regexp_extract(m, '[-/.]', 0)"
-    none = "''"
-    date = let("t", _date_parts(), let("p", "regexp_extract_all(m, '[0-9]+', 0)", f"CASE t.ord WHEN 'ymd' THEN array({year(none)}, {month(mark, 1)}, {day(mark, 2)}) WHEN 'mdy' THEN array({month(none, 0)}, {day(mark, 1)}, {year(mark)}) ELSE array({day(none, 0)}, {month(mark, 1)}, {year(mark)}) END"))
+    place = lambda part: f"CASE t.ord WHEN 'ymd' THEN {1 + part} WHEN 'mdy' THEN {part} ELSE {1 - part} END"
+    month = _symbol("mark", 2, "IF(t.d > 28, 1, 12)", "IF(t.d > 28, 0, t.mo - 1)", "IF(t.d > 28, t.mo, 1)", f"length(p[{place(0)}])")
+    day = _symbol("mark", 2, "CASE WHEN t.d > 28 THEN 1 WHEN t.d > 12 THEN 16 ELSE 12 END", "CASE WHEN t.d > 28 THEN 0 WHEN t.d > 12 THEN t.d - 13 ELSE t.d - 1 END", "CASE WHEN t.d > 28 THEN t.d WHEN t.d > 12 THEN 13 ELSE 1 END", f"length(p[{place(1)}])")
+    parts_of = "regexp_extract_all(m, '[0-9]+', 0)"
+    date = let("t", _date_parts(), let("p", parts_of, let("mark", "regexp_extract(m, '[-/.]', 0)", f"array({year(quoted(''))}, {month}, {day})")))
     return f"""CASE kind
         WHEN 'secret' THEN {secret}
-        WHEN 'email' THEN {from_to("0", "instr(m, '@') - 1", any_char)}
+        WHEN 'email' THEN {from_to("0", "instr(m, '@') - 1", letters, any_char)}
         WHEN 'ip' THEN {ip}
         WHEN 'date' THEN {date}
         WHEN 'ssn' THEN {ssn}
-        WHEN 'iban' THEN {from_to("4", "length(m)", any_char)}
+        WHEN 'iban' THEN {from_to("4", "length(m)", letters, any_char)}
         WHEN 'phone' THEN {phone}
         ELSE {card} END"""
 
@@ -169,13 +178,15 @@ def pseudonym_sql(key: str) -> str:
     common = "IF(x = 0, 1900, 1901 + ((x - 1) div 3) * 4 + (x - 1) % 3)"
     number = "IF(s.b <= 1, cast(s.a + x as string), lpad(cast(s.a + x as string), s.b, '0'))"
     written = f"CASE s.k WHEN 0 THEN char(s.a + x) WHEN 1 THEN substring('0123456789abcdef', x + 1, 1) WHEN 2 THEN {number} WHEN 3 THEN cast(1904 + 4 * x as string) WHEN 4 THEN cast({common} as string) WHEN 5 THEN lpad(cast(x + IF(x < 665, 1, 2) as string), 3, '0') ELSE '' END"
-    one = let("x", "IF(s.r > 1, coalesce(get(vals, acc.j), 0), s.v)", written)
-    rendered = f"aggregate(syms, named_struct('out', '', 'j', 0), (acc, s) -> named_struct('out', concat(acc.out, s.pre, {one}), 'j', acc.j + IF(s.r > 1, 1, 0)), acc -> acc.out)"
+    one = let("x", "IF(s.r > 1, vals[i], s.v)", written)
+    rendered = f"array_join(transform(syms, (s, i) -> concat(s.pre, {one})), '')"
     body = let("n", _DIGITS.replace("(m,", "(made,"), f"cast((10 - {_luhn_sum('substring(n, 1, length(n) - 1)', 0)} % 10) % 10 as string)")
     card = f"concat(substring(made, 1, length(made) - 1), {body})"
     check = _mod97("concat(substring(replace(made, ' ', ''), 5), substring(made, 1, 2), '00')")
     iban = f"concat(substring(made, 1, 2), lpad(cast(98 - {check} as string), 2, '0'), substring(made, 5))"
-    fixed = let("made", rendered, f"CASE kind WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} ELSE made END")
+    # year, month and day go through the rounds in that order and are put back as they stood
+    ordered = let("w", "regexp_extract_all(made, '[0-9]+', 0)", "CASE WHEN m rlike '^[0-9]{4}' THEN made WHEN contains(m, '/') AND cast(regexp_extract(m, '^[0-9]+', 0) as int) <= 12 THEN concat(w[1], '/', w[2], '/', w[0]) ELSE concat_ws(regexp_extract(m, '[/.]', 0), w[2], w[1], w[0]) END")
+    fixed = let("made", rendered, f"CASE kind WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} WHEN 'date' THEN {ordered} ELSE made END")
     active = "filter(syms, s -> s.r > 1)"
     permuted = let("rs", f"transform({active}, s -> s.r)", feistel_sql(f"transform({active}, s -> s.v)", "rs", "kind", key))
     whole = let("syms", symbols_sql(), let("vals", permuted, fixed))
@@ -187,10 +198,15 @@ def _parted(text: str, unit: str, valid: str) -> str:
 
     Of what begins at one place the longest counts, of what overlaps the first.
     """
-    joined = "array_join(slice(u, {0} + 1, {1} - {0}), '')"
+    # (a slice would copy all of u)
+    joined = "IF({1} > {0}, array_join(transform(sequence({0}, {1} - 1), z -> u[z]), ''), '')"
     some = f"filter(sequence(i + 1, least(size(u), i + {MOST_GROUPS})), j -> {let('g', f"regexp_replace({joined.format('i', 'j')}, '[ -]+$', '')", valid)})"
     best = f"filter(transform(sequence(0, size(u) - 1), i -> named_struct('i', i, 'j', coalesce(array_max({some}), 0))), b -> b.j > 0)"
-    picked = f"aggregate({best}, cast(array() as array<struct<i: int, j: int>>), (a, b) -> IF(b.i < coalesce(get(a, size(a) - 1).j, 0), a, concat(a, array(b))))"
+    # chosen in order, gathered by 256 so that nothing long is copied for each
+    pairs = "array<struct<i: int, j: int>>"
+    start = f"named_struct('done', cast(array() as array<{pairs}>), 'own', cast(array() as {pairs}), 'upto', 0)"
+    moved = "IF(size(a.own) < 256, named_struct('done', a.done, 'own', concat(a.own, array(b)), 'upto', b.j), named_struct('done', concat(a.done, array(a.own)), 'own', array(b), 'upto', b.j))"
+    picked = f"aggregate({best}, {start}, (a, b) -> IF(b.i < a.upto, a, {moved}), a -> flatten(concat(a.done, array(a.own))))"
     part = lambda t, f: f"named_struct('t', {t}, 'f', {f})"
     plain = let("lo", "IF(k = 0, 0, coalesce(get(p, k - 1).j, 0))", let("hi", "IF(k < size(p), get(p, k).i, size(u))", joined.format("lo", "hi")))
     held = joined.format("get(p, k).i", "get(p, k).j")
@@ -223,6 +239,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     No shuffle; a row is worked off where it is read.
     """
+    docs = without(docs, ["n_pii", "pii_kinds"], text_col)
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = f"c{columns.index(text_col)}"

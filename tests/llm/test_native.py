@@ -176,8 +176,8 @@ def luhn(number):
 
 
 def one(spark, *texts, key="k"):
-    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_pii string")
-    return [r for r in sorted(pii.pseudonymize(rows, key).toDF("doc_id", "text", "old", "n", "kinds").collect())]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, N_PII string")
+    return [r for r in sorted(pii.pseudonymize(rows, key).toDF("doc_id", "text", "n", "kinds").collect())]
 
 
 def test_pseudonyms_keep_their_formats(spark):
@@ -251,3 +251,74 @@ def test_pii_edges(docs, no_docs, twice, texts):
     found = pii.pseudonymize(docs, "k")
     assert found.columns == [*docs.columns, "n_pii", "pii_kinds"] and found.count() == len(texts)
     assert pii.pseudonymize(twice, "k").count() == 2 * len(texts) + 2
+
+
+def test_dates_are_linked_across_notations(spark):
+    same = one(spark, "2020-01-05", "01/05/2020", "05.01.2020", "1/5/2020", "2020-10-25", "25/10/2020", "10/25/2020", "25.10.2020", "2021-03-31", "31.03.2021")
+    iso, slash, dots, short, *late = [r["text"] for r in same]
+    y, m, d = iso.split("-")
+    assert iso != "2020-01-05" and slash == f"{m}/{d}/{y}" and dots == f"{d}.{m}.{y}" and short == f"{int(m)}/{int(d)}/{y}"
+    y, m, d = late[0].split("-")
+    assert late[1:4] == [f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{d}.{m}.{y}"]
+    assert late[5].split(".") == late[4].split("-")[::-1]
+
+
+def test_patterns_take_very_long_runs(spark):
+    n = 20_000
+    runs = [
+        "x@y" + ".a" * n, "token=" + "aB3" * n, "1.2.3" + ".4" * n, "2020-01-01" * n, "1/1/2020/" * n, "123-45-6789-" * n, "DE89 3704 0044 " + "0532 " * n, "AB12" * n, "4111 " * n, "1-" * n + "1a",
+        "1" * n + "a", "+1 " + "(555) " * n, "+4" + "4.12" * n, "@" * n, "a@" * n, "=" * n, "token=" * n, "password" * n, "1.1" * n, "(555)" * n, "4111 1111 1111 1111 " * (n // 4),
+    ]
+    got = one(spark, *runs)
+    assert len(got) == len(runs) and [len(r["text"]) for r in got[:2]] == [len(runs[0]), len(runs[1])]
+    assert got[0]["kinds"] == "email" and got[1]["kinds"] == "secret" and runs[1][6:] not in got[1]["text"]
+
+
+def plain_feistel(values, radices, tweak, key):
+    vs = list(values)
+    half = len(vs) // 2
+    for t in range(pii.ROUNDS):
+        moved = [(j < half) == (t % 2 == 0) for j in range(len(vs))]
+        other = ",".join("" if m else str(v) for m, v in zip(moved, vs, strict=True))
+        h = hashlib.sha256("|".join([key, tweak, ",".join(map(str, radices)), str(t), other]).encode()).hexdigest()
+        vs = [(v + signed(hash_ints([h, j]))) % r if m else v for j, (m, v, r) in enumerate(zip(moved, vs, radices, strict=True))]
+    return vs
+
+
+def plain_pseudonym(text, key="k"):
+    """Pseudonyms of single values, by kind."""
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", text):
+        return ".".join(map(str, plain_feistel(map(int, text.split(".")), [256] * 4, "ip", key)))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", text):
+        a, b, c = map(int, text.split("-"))
+        a, b, c = plain_feistel([a - (2 if a > 666 else 1), b - 1, c - 1], [898, 99, 9999], "ssn", key)
+        return f"{a + (1 if a < 665 else 2):03}-{b + 1:02}-{c + 1:04}"
+    if re.fullmatch(r"\d{16}", text):
+        body = text[0] + "".join(map(str, plain_feistel(map(int, text[1:15]), [10] * 14, "card", key)))
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+    if "@" in text:
+        own, rest = text.split("@")
+        base = {c: (("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26)) for c in own if c.isalnum()}
+        live = [c for c in own if c in base]
+        out = iter(plain_feistel([ord(c) - ord(base[c][0]) for c in live], [base[c][1] for c in live], "email", key))
+        return "".join(chr(ord(base[c][0]) + next(out)) if c in base else c for c in own) + "@" + rest
+    y, m, d = map(int, text.split("-"))
+    years = [n for n in range(1900, 2100) if (n % 4 == 0 and n != 1900) == (y % 4 == 0 and y != 1900)]
+    days = [d] if d > 28 else list(range(13, 29)) if d > 12 else list(range(1, 13))
+    months = [m] if d > 28 else list(range(1, 13))
+    sets = [years, months, days]
+    live = [s for s in sets if len(s) > 1]
+    out = iter(plain_feistel([s.index(v) for s, v in zip(sets, (y, m, d), strict=True) if len(s) > 1], [len(s) for s in live], "date", key))
+    y, m, d = [s[next(out)] if len(s) > 1 else s[0] for s in sets]
+    return f"{y}-{m:02}-{d:02}"
+
+
+def test_pseudonyms_equal_the_plain_version(spark):
+    rng = random.Random(8)
+    number = ["4" + "".join(rng.choices("0123456789", k=14)) for _ in range(60)]
+    values = [next(b + str(d) for d in range(10) if luhn(b + str(d))) for b in number]
+    values += [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(60)]
+    values += [f"{rng.choice([1, 42, 665, 667, 899]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(60)]
+    values += ["".join(rng.choices("abcxyzABC0189._", k=9)) + f"q@host{i}.org" for i in range(60)]
+    values += [f"{rng.randrange(1900, 2100)}-{rng.choice([1, 3, 5, 7, 8, 10, 12]):02}-{rng.randrange(1, 32):02}" for _ in range(120)]
+    assert [r["text"] for r in one(spark, *values)] == [plain_pseudonym(v) for v in values]
