@@ -32,6 +32,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .native import let, quoted
 
 #: Fixed value: what is a word, after lower-casing A-Z.
@@ -62,8 +63,9 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall("[a-z0-9]+", text.lower())))
 
 
-def _words_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, {quoted(WORD)}, 0)"
+def stretch_words(text: str, containment: float) -> int:
+    """Words that a stretch has at most in which a template is looked for."""
+    return math.ceil(len(re.findall("[a-z0-9]+", text.lower())) / containment - 1e-9)
 
 
 def _array(values, kind: str) -> str:
@@ -79,16 +81,32 @@ def _starts_sql(words: str, phrase: str) -> str:
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8, names: frozenset[str] = NAMES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score`` for each row.
+
+    Texts are taken apart once: what is written to the shared folder of a
+    document is its number of words, the places of base phrases, and ``marks``,
+    the places of words that some template has.
+    """
     spark = docs.sparkSession
     # lower() equals lower-casing A-Z for these ASCII words, but for the Kelvin sign, which would become a k
-    low = F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "K", "é"))
-    rows = docs.select(F.col(id_col).alias("id"), low.alias("low")).withColumn("key", F.xxhash64("low"))
-    worded = rows.withColumn("words", F.expr(_words_sql("low")))
-
+    low = F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "K", "é"))
+    worded = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    held = f"array_intersect(words, {_array(map(quoted, vocabulary), 'string')})"
-    counted = worded.select(F.explode(F.expr(held)).alias("word")).groupBy("word").count()
-    count = {r["word"]: r["count"] for r in counted.collect()}  # one row for each word of the templates at most
+    known, listed = _array(map(quoted, vocabulary), "string"), ", ".join(map(quoted, vocabulary))
+    starts = let("w", "words", f"array({', '.join(_starts_sql('w', phrase) for phrase in base)})")
+    places = f"filter(sequence(0, size(words) - 1), i -> words[i] IN ({listed}))" if vocabulary else "cast(array() as array<int>)"
+    marks = f"IF(size(words) = 0, cast(array() as array<int>), {places})"
+    rows = worded.select(
+        F.monotonically_increasing_id().alias("row"),  # stands in the table, so it stays as it is
+        "id",
+        F.size("words").cast("long").alias("n_words"),
+        F.expr(starts).alias("places"),
+        F.expr(f"transform({marks}, i -> named_struct('p', i, 'w', cast(array_position({known}, words[i]) - 1 as int)))").alias("marks"),
+    )
+    rows = stash(rows, "licenses")
+
+    held = rows.select(F.explode(F.expr("array_distinct(transform(marks, m -> m.w))")).alias("w")).groupBy("w").count()
+    count = {vocabulary[r["w"]]: r["count"] for r in held.collect()}  # one row for each word of the templates at most
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
 
@@ -96,41 +114,45 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
     for number, (label, text) in enumerate(templates):
         ranks = sorted(rank[w] for w in template_words(text))
         need = math.ceil(containment * len(ranks) - 1e-9)
-        stretch = math.ceil(len(re.findall("[a-z0-9]+", text.lower())) / containment - 1e-9)
+        stretch = stretch_words(text, containment)
         if stretch > BLOCK // 2 + 1:
             raise ValueError(f"a template of more words than blocks of {BLOCK} are sure to hold: {text!r}")
         for place in range(len(ranks) - need + 1):
             index.append((ranks[place], number, label, place, len(ranks), need, ranks, stretch, [r for r in ranks if order[r] in names]))
-            prefixes.add(order[ranks[place]])
+            prefixes.add(ranks[place])
     columns = "rank int, template int, label string, t_place int, t_size int, need int, t_ranks array<int>, stretch int, t_names array<int>"
     small = F.broadcast(spark.createDataFrame(index, columns))  # the size of the templates
 
-    may_meet = worded.where(f"arrays_overlap(words, {_array(map(quoted, sorted(prefixes)), 'string')})").select("id", "key", "low").distinct().withColumn("words", F.expr(_words_sql("low")))
+    # blocks that hold a word of a prefix: each such word names the two blocks it lies in, but for those its predecessor named
     step = BLOCK // 2
-    blocks = may_meet.select("id", "key", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {step} - 1, 0) div {step}), k -> slice(words, k * {step} + 1, {BLOCK}))")).alias("block"))
-    # the rank of each word of the block, -1 for words of no template
-    placed = blocks.select("id", "key", F.expr(f"transform(block, w -> cast(array_position({_array(map(quoted, order), 'string')}, w) - 1 as int))").alias("block"))
-    sets = placed.select("id", "key", "block", F.expr("sort_array(array_distinct(filter(block, r -> r >= 0)))").alias("ranks"))
-    pairs = sets.select("id", "key", "block", "ranks", F.posexplode("ranks").alias("place", "rank")).join(small, "rank")
+    ranked = F.expr(f"transform(marks, m -> named_struct('p', m.p, 'r', {_array([str(rank[w]) for w in vocabulary], 'int')}[m.w]))")
+    first = ", ".join(map(str, sorted(prefixes))) or "-1"
+    anchors = F.expr(f"filter(transform(ranked, (m, j) -> named_struct('p', m.p, 'r', m.r, 'j', j)), m -> m.r IN ({first}))")
+    some = rows.select("row", "n_words", ranked.alias("ranked")).withColumn("anchors", anchors).where("size(anchors) > 0")
+    last = f"greatest(n_words - {step} - 1, 0) div {step}"
+    before = f"IF(i = 0, -1, anchors[i - 1].p div {step})"
+    blocks = F.expr(f"flatten(transform(anchors, (m, i) -> transform(filter(array(m.p div {step} - 1, m.p div {step}), k -> k >= 0 AND k <= {last} AND k > {before}), k -> named_struct('k', k, 'j', m.j))))")
+    some = some.select("row", "ranked", F.explode(blocks).alias("b"))
+    near = f"transform(sequence(greatest(b.j - {BLOCK - 1}, 0), least(b.j + {BLOCK - 1}, size(ranked) - 1)), z -> ranked[z])"
+    sets = some.select("row", F.expr(f"filter({near}, m -> m.p >= b.k * {step} AND m.p < b.k * {step} + {BLOCK})").alias("block"))
+    sets = sets.withColumn("ranks", F.expr("sort_array(array_distinct(transform(block, m -> m.r)))"))
+    pairs = sets.select("row", "block", "ranks", F.posexplode("ranks").alias("place", "rank")).join(small, "rank")
     pairs = pairs.where("size(ranks) >= need AND 1 + least(t_size - t_place - 1, size(ranks) - place - 1) >= need")
     met = pairs.where("size(array_intersect(ranks, t_ranks)) >= need AND size(array_except(t_names, ranks)) = 0")
-    stretches = "transform(sequence(1, size(block)), i -> slice(block, i, stretch))"
+    # a stretch that holds the most begins at a marked word
+    stretches = "transform(block, s -> transform(filter(block, m -> m.p >= s.p AND m.p < s.p + stretch), m -> m.r))"
     met = met.withColumn("common", F.expr(f"array_max(transform(filter({stretches}, s -> size(array_except(t_names, s)) = 0), s -> size(array_intersect(s, t_ranks))))")).where("common >= need")
-    met = met.groupBy("id", "key").agg(F.collect_set("label").alias("own_labels"), F.max(F.col("common") / F.col("t_size")).alias("own_score"))
+    met = met.groupBy("row").agg(F.collect_set("label").alias("own_labels"), F.max(F.col("common") / F.col("t_size")).alias("own_score"))
 
-    starts = [_starts_sql("w", phrase) for phrase in base]
-    found = let("w", "words", f"array({', '.join(starts)})")
-    main = worded.select("id", "key", F.size("words").cast("long").alias("n_words"), F.expr(found).alias("places"))
     labels = _array(map(quoted, base.values()), "string")
-    main = main.select(
+    main = rows.select(
+        "row",
         "id",
-        "key",
         "n_words",
         F.expr("flatten(places)").alias("starts"),
         F.expr(f"array_sort(array_distinct(filter(transform(places, (p, i) -> IF(size(p) > 0, {labels}[i], NULL)), x -> x IS NOT NULL)))").alias("base_found"),
     )
-    both = main.join(met, (main["id"].eqNullSafe(met["id"])) & (main["key"] == met["key"]), "left").select(main["*"], "own_labels", "own_score")
-    return both.select(
+    return main.join(met, "row", "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.size("starts").cast("long").alias("n_base"),

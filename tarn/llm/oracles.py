@@ -34,35 +34,39 @@ def _list(values) -> str:
 
 
 def licenses_sql() -> str:
-    """Brute force: every block against every template."""
+    """Brute force: every stretch that begins at a template's word against that template."""
     starts = []
     for phrase, label in licenses.BASE.items():
         parts = phrase.split(" ")
         same = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
-        starts.append(f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, len(w) - {len(parts) - 1})) AS i FROM worded) WHERE {same}")
-    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {_list(licenses.template_words(t))} AS t" for label, t in licenses.TEMPLATES)
-    step = licenses.BLOCK // 2
+        starts.append(f"SELECT row, '{label}' AS label, i FROM (SELECT row, w, unnest(range(0, len(w) - {len(parts) - 1})) AS i FROM worded) WHERE {same}")
+    entries = []
+    for label, text in licenses.TEMPLATES:
+        t = licenses.template_words(text)
+        names = [w for w in t if w in licenses.NAMES]
+        entries.append(f"SELECT '{label}' AS label, {_list(t)} AS t, {_list(names) if names else 'CAST([] AS VARCHAR[])'} AS names, {licenses.stretch_words(text, 0.8)} AS stretch")
     return rf"""
 WITH worded AS (
-    SELECT doc_id, {_LOWER} AS low, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
 ), places AS (
     {" UNION ALL ".join(starts)}
-), lines AS (
-    SELECT doc_id, regexp_extract_all(line, '{_WORD}') AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM worded)
-), blocks AS (
-    SELECT doc_id, w[k * {step} + 1 : k * {step} + {licenses.BLOCK}] AS block
-    FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {step} - 1, 0) // {step} + 1)) AS k FROM lines)
-), templates AS ({templates}
+), templates AS ({" UNION ALL ".join(entries)}
+), words AS (
+    SELECT row, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM worded
+), begins AS (
+    SELECT DISTINCT row, i, label, t, names, stretch FROM words JOIN (SELECT *, unnest(t) AS y FROM templates) ON x = y
+), held AS (
+    SELECT label, t, names, row, list_distinct(w[i : i + stretch - 1]) AS s FROM begins JOIN worded USING (row)
 ), met AS (
-    SELECT doc_id, label, len(list_intersect(list_distinct(block), t)) / CAST(len(t) AS DOUBLE) AS share, len(list_intersect(list_distinct(block), t)) AS common, len(t) AS size FROM blocks, templates
+    SELECT row, label, len(list_intersect(s, t)) AS common, len(t) AS size FROM held WHERE len(list_intersect(s, names)) = len(names)
 ), own AS (
-    SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM met WHERE common >= ceil(0.8 * size - 1e-9) GROUP BY doc_id
+    SELECT row, list(DISTINCT label) AS labels, max(common / CAST(size AS DOUBLE)) AS score FROM met WHERE common >= ceil(0.8 * size - 1e-9) GROUP BY row
 ), base AS (
-    SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
+    SELECT row, count(*) AS n, min(i) AS first, max(i) AS last, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY row
 )
-SELECT worded.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
     coalesce(array_to_string(base.labels, ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
     CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
-FROM worded LEFT JOIN base ON base.doc_id = worded.doc_id LEFT JOIN own ON own.doc_id = worded.doc_id
+FROM worded LEFT JOIN base USING (row) LEFT JOIN own USING (row)
 """

@@ -117,20 +117,19 @@ def plain_scan(text):
                 starts.append(i)
                 base.add(label)
     own, best = set(), 0.0
-    for line in low.split("\n"):
-        w = word.findall(line)
-        for k in range(max(1, -(-(len(w) - licenses.BLOCK) // (licenses.BLOCK // 2)) + 1)):
-            block = set(w[k * licenses.BLOCK // 2 : k * licenses.BLOCK // 2 + licenses.BLOCK])
-            for label, template in licenses.TEMPLATES:
-                t = set(licenses.template_words(template))
-                if len(block & t) >= 0.8 * len(t) - 1e-9:
-                    own.add(label)
-                    best = max(best, len(block & t) / len(t))
+    for label, template in licenses.TEMPLATES:
+        t = set(licenses.template_words(template))
+        stretch = licenses.stretch_words(template, 0.8)
+        for i in (i for i, w in enumerate(words) if w in t):
+            held = set(words[i : i + stretch])
+            if len(held & t) >= 0.8 * len(t) - 1e-9 and t & licenses.NAMES <= held:
+                own.add(label)
+                best = max(best, len(held & t) / len(t))
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if starts else best
 
 
 def test_licenses_equal_the_plain_version(spark, docs, texts):
-    extra = ["Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "licensed under the apache license version 2", "Kelvin worK is licensed under the GNU General Public License", "this source code form is subject to terms of the mozilla public license v 2 0", "cc by" * 3, " ".join(["filler"] * 50 + ["released under the mit license"] + ["filler"] * 90)]
+    extra = ["Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "licensed under the apache license version 2", "Kelvin worK is licensed under the GNU General Public License", "this source code form is subject to terms of the mozilla public license v 2 0", "cc by" * 3, " ".join(["license the mit under released license"] * 300), " ".join(["word license"] * 40 + ["released under the mit"] * 3 + ["x"] * 30 + ["the license"] * 70), " ".join(["filler"] * 50 + ["released under the mit license"] + ["filler"] * 90)]
     more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
     found = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs.select("doc_id", "text").unionByName(more)).collect()}
     every = dict(enumerate(texts)) | {10_000 + i: t for i, t in enumerate(extra)}
