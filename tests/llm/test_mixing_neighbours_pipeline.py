@@ -88,7 +88,7 @@ def exact(vectors, k, every):
 
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 1500)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(1)
     vectors = {i: rng.normal(size=32) for i in range(4000)}
     df = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in vectors.items()], "vec_id long, embedding array<double>, score double")
@@ -112,6 +112,39 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_repeated_queries_are_asked_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 300)]
+    more = rows + [rows[99]] * 3 + [rows[199]]  # ids 100 and 200 in several rows
+    asked = [tuple(r) for r in neighbours.nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>")).collect()]
+    assert sorted((q, k) for q, k, _, _ in asked) == [(q, k) for q in (100, 200) for k in range(1, 11)]
+    plain = {q: sorted((float(np.sqrt(((np.array(w) - rows[q - 1][1]) ** 2).sum())), i) for i, w in more if i != q)[:10] for q in (100, 200)}
+    assert all([(s, i) for q2, _, i, s in sorted(asked) if q2 == q] == plain[q] for q in (100, 200))
+
+
+def test_few_vectors_are_verified():
+    """Of uniform directions in 64 dimensions, where the tenth nearest is hardly nearer than the rest."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 64))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    index = neighbours.CollisionIndex(vectors, neighbours.random_lines(64))
+    found = index.search(vectors[:40], 10, [np.array([q]) for q in range(40)])
+    share = np.mean([len(rows) for rows, _ in found]) / 3000
+    hits = 0
+    for q, (rows, dists) in enumerate(found):
+        exact = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        exact[q] = np.inf
+        hits += len(set(np.argsort(exact)[:10]) & set(rows[np.argsort(dists)[:10]]))
+    assert share < 0.2 and hits / 400 >= 0.95
+
+
+@pytest.mark.parametrize("n", [1, 5, 50])
+def test_shards_of_any_size_are_searched_alike(n):
+    vectors = np.repeat([[1.0, 2.0], [1.0, 2.0]], n, axis=0)
+    rows, dists = neighbours.CollisionIndex(vectors, neighbours.random_lines(2)).search(np.array([[3.0, 2.0]]), 10, [np.zeros(0, int)])[0]
+    assert len(rows) == 2 * n and set(dists) == {2.0}
+
+
 def test_pipeline_stages(spark, docs, no_docs, twice, texts):
     plain = docs.select(corpus_pipeline.COLUMNS)
     found = plain
