@@ -5,7 +5,12 @@ byte pair vocabulary (a ``.json`` of the tokenizers library with NFC, white
 space, lower case, split and byte level steps).  Pre-tokens of a batch are held
 as one ragged array of symbols.  In each round every sequence finds the lowest
 rank among its adjacent pairs and merges all places of that pair at once; the
-symbols that are left when no pair has a rank are its tokens.
+symbols that are left when no pair has a rank are its tokens.  Long pre-tokens
+(above ``LONG_BYTES``) are held as one linked array instead, whose ranks are kept
+from round to round: each round takes the lowest rank of all of them, which is
+then the lowest of each sequence that has it, and ranks anew only the neighbours
+of merged places.  So a word of any length costs rounds by the ranks it meets
+and work by its merges.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); special strings
 inside a text count as one token each, as is the library's default; equal rows
@@ -15,6 +20,7 @@ input are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -27,6 +33,8 @@ from .common import bounded_batches, text_slices, worker_cache
 
 #: A worker forgets its counts of words beyond so many entries.
 CACHE_WORDS = 800_000
+#: Pre-tokens of more bytes keep their ranks between rounds.
+LONG_BYTES = 64
 
 #: Marks that are a pre-token and a token of their own behind letters.
 PLAIN_ENDS = {",", ".", ";", ":", "!", "?"}
@@ -96,14 +104,15 @@ class RankMerger:
     def merged_lengths(self, tokens: list[bytes]) -> np.ndarray:
         """Number of symbols that each pre-token is merged to."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        if lengths.max(initial=0) > LONG_BYTES:
+            out = np.zeros(len(tokens), np.int64)
+            for long in (False, True):
+                at = np.flatnonzero((lengths > LONG_BYTES) == long)
+                own = [tokens[i] for i in at.tolist()]
+                out[at] = self._long_lengths(own) if long else self.merged_lengths(own)
+            return out
+        symbols, owner = self._symbols(tokens, lengths)
         out = np.zeros(len(tokens), np.int64)
-        raw = np.frombuffer(b"".join(tokens), np.uint8)
-        symbols = self.inner[raw]
-        ends = np.cumsum(lengths) - 1
-        symbols[ends[lengths > 0]] = self.final[raw[ends[lengths > 0]]]
-        owner = np.repeat(np.arange(len(tokens)), lengths)
-        known = symbols >= 0  # symbols outside the vocabulary vanish, as in the library without an unknown token
-        symbols, owner = symbols[known], owner[known]
         while len(symbols):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             count = np.diff(np.r_[first, len(owner)])
@@ -129,6 +138,65 @@ class RankMerger:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
+    def _symbols(self, tokens: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of all pre-tokens, and the pre-token of each."""
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        symbols = self.inner[raw]
+        ends = np.cumsum(lengths) - 1
+        symbols[ends[lengths > 0]] = self.final[raw[ends[lengths > 0]]]
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        known = symbols >= 0  # symbols outside the vocabulary vanish, as in the library without an unknown token
+        symbols, owner = symbols[known], owner[known]
+        return symbols, owner
+
+    def _long_lengths(self, tokens: list[bytes]) -> np.ndarray:
+        """As ``merged_lengths``, by linked places: ``after`` and ``prior`` skip what is merged away."""
+        symbols, owner = self._symbols(tokens, np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        n = len(symbols)
+        after, prior = np.arange(1, n + 1), np.arange(-1, n - 1)
+        breaks = np.flatnonzero(owner[1:] != owner[:-1])
+        after[breaks], prior[breaks + 1] = -1, -1
+        after[n - 1 :], alive = -1, np.ones(n, bool)
+        rank = np.full(n, self.none)
+        waiting: dict[int, list[np.ndarray]] = {}
+        turns: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Ranks the pairs that begin at ``places``; ranked ones wait for their turn."""
+            pair = after[places] >= 0
+            rank[places[~pair]] = self.none
+            places = places[pair]
+            found = self._rank(symbols[places], symbols[after[places]])
+            rank[places] = found
+            places, found = places[found < self.none], found[found < self.none]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for own, r in zip(np.split(places, cuts), found[np.r_[0, cuts]].tolist() if len(found) else (), strict=False):
+                if r not in waiting:
+                    heapq.heappush(turns, r)
+                waiting.setdefault(r, []).append(own)
+
+        note(np.arange(n))
+        while turns:
+            r = heapq.heappop(turns)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # of overlapping places (a a a) every other one is merged, from the left
+            run = np.r_[True, after[at[:-1]] != at[1:]]
+            since = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+            at = at[since % 2 == 0]
+            gone = after[at]
+            symbols[at], alive[gone] = self.made[r], False
+            behind = after[gone]
+            after[at] = behind
+            prior[behind[behind >= 0]] = at[behind >= 0]
+            before = prior[at]
+            note(np.unique(np.concatenate([at, before[before >= 0]])))
+        return np.bincount(owner[alive], minlength=len(tokens))
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         wanted = a << 32 | b
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
