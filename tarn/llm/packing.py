@@ -3,14 +3,16 @@
 Each document becomes its token ids and an end id, cut into pieces of at most
 one sequence.  A piece costs ``linear * n + quadratic * n * n`` (attention is
 kept inside a piece).  Full pieces are sequences of their own.  The rest are
-dealt into shards by a hash of the document and its place; within a shard, in
-descending order, each goes to the sequence of lowest cost that has room.  What
-fits nowhere whole is cut over the gaps, cheapest sequences first, so a shard
-leaves at most one sequence's worth of padding.
+dealt into shards; within a shard, in descending order, each goes to the
+sequence of lowest cost that has room.  What fits nowhere whole is cut over the
+gaps, cheapest sequences first, so a shard leaves at most one sequence's worth
+of padding.
 
-Shards hold about ``SHARD_DOCS`` documents whatever the size of the corpus, so
-memory is bounded, and a hot source or a very long document spreads: only the
-ids of last pieces travel, as two bytes each; full pieces travel as a checksum.
+The pieces are written to the shared folder with a number each, and that number
+decides the shard: shards hold about ``SHARD_DOCS`` pieces whatever the size of
+the corpus and however often a row or id repeats, and a lost executor changes
+nothing.  Full pieces are a checksum and are not shuffled; only the ids of last
+pieces travel, as two bytes each.
 
 Defined cases: null and empty texts are one piece holding the end id alone;
 repeated rows are packed as often as they occur; no input gives no pieces;
@@ -28,10 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back_memory, text_slices, worker_cache
+from .common import bounded_batches, give_back_memory, stash, text_slices, worker_cache
 from .token_counts import byte_characters
 
-SHARD_DOCS = 1024
+SHARD_DOCS = 1024  # pieces that are not full, one a document at most
 #: A worker forgets the ids of words beyond so many entries.
 CACHE_WORDS = 200_000
 
@@ -179,11 +181,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, line
 
     ``start`` counts the document's ids before the piece, ``offset`` the ids
     before it in its sequence; ``ids_crc32`` is over unsigned little-endian
-    32-bit ids.
+    32-bit ids.  Sequences of one full piece have odd numbers, others even ones.
     """
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    shards = max(1, docs.count() // SHARD_DOCS)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
@@ -192,43 +192,41 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, line
         encoder = worker_cache("encoder_" + path, lambda: WordEncoder(path))
         crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
         for batch in batches:
-            names, texts, shard_of = (batch.column(i).to_pylist() for i in range(3))
+            names, texts = (batch.column(i).to_pylist() for i in range(2))
             for lo, hi in text_slices(texts):
                 rows = []
-                for name, shard, ids in zip(names[lo:hi], shard_of[lo:hi], encoder.ids(texts[lo:hi]), strict=True):
+                for name, ids in zip(names[lo:hi], encoder.ids(texts[lo:hi]), strict=True):
                     ids = np.append(ids, encoder.type(end_id))
-                    for k, start in enumerate(range(0, len(ids), capacity)):
+                    for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
                         full = len(piece) == capacity
-                        rows.append((name, (shard + k // 64) % shards, start, len(piece), len(ids), crc(piece) if full else None, None if full else piece.astype(encoder.type).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "shard", "start", "length", "doc_tokens", "crc", "ids"])
+                        rows.append((name, start, len(piece), len(ids), crc(piece) if full else None, None if full else piece.astype(encoder.type).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "start", "length", "doc_tokens", "crc", "ids"])
         give_back_memory()
 
     def place(table):
         import pyarrow as pa
 
-        table = table.sort_by([("id", "ascending"), ("start", "ascending"), ("length", "ascending")])
+        table = table.sort_by("row")
         col = {c: table.column(c).to_pylist() for c in table.column_names}
-        base, rows = (col["shard"][0] or 0) << 32, []
-        part = [i for i, c in enumerate(col["crc"]) if c is None]
-        for i, c in enumerate(col["crc"]):
-            if c is not None:
-                rows.append((col["id"][i], col["start"][i], capacity, c, col["doc_tokens"][i], base, 0))
-                base += 1
-        for sequence in pack_shard([col["length"][i] for i in part], capacity, linear, quadratic):
+        base, rows = col["shard"][0] << 32, []
+        for sequence in pack_shard(col["length"], capacity, linear, quadratic):
             offset = 0
-            for piece, lo, hi in sequence:
-                i = part[piece]
+            for i, lo, hi in sequence:
                 size = len(col["ids"][i]) // col["length"][i]
                 ids = np.frombuffer(col["ids"][i], "<u2" if size == 2 else "<u4")[lo:hi]
-                rows.append((col["id"][i], col["start"][i] + lo, hi - lo, zlib.crc32(ids.astype("<u4").tobytes()), col["doc_tokens"][i], base, offset))
+                rows.append((col["id"][i], col["start"][i] + lo, hi - lo, zlib.crc32(ids.astype("<u4").tobytes()), col["doc_tokens"][i], 2 * base, offset))
                 offset += hi - lo
             base += 1
         kinds = [table.schema.field("id").type, *[pa.int64()] * 6]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("long"))
-    pieces = rows.mapInArrow(cut, f"id {kind}, shard long, start long, length long, doc_tokens long, crc long, ids binary")
-    packed = pieces.groupBy("shard").applyInArrow(place, f"id {kind}, {PIECES}")
-    return packed.withColumnRenamed("id", id_col)
+    pieces = rows.mapInArrow(cut, f"id {kind}, start long, length long, doc_tokens long, crc long, ids binary")
+    pieces = stash(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full, part = pieces.where("crc IS NOT NULL"), pieces.where("crc IS NULL")
+    shards = max(1, part.count() // SHARD_DOCS)
+    whole = full.select("id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = part.drop("crc").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
+    packed = dealt.groupBy("shard").applyInArrow(place, f"id {kind}, {PIECES}")
+    return packed.unionByName(whole).withColumnRenamed("id", id_col)

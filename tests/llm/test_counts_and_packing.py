@@ -1,9 +1,11 @@
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarn.llm import packing, token_counts
@@ -20,6 +22,21 @@ def test_token_counts_equal_the_library(texts):
     assert token_counts.RankMerger(WORD_PATH, cache_words=3).counts(all_texts) == expected
 
 
+def test_long_words_equal_the_library_and_take_little_time():
+    rng = np.random.default_rng(5)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(of), n))
+    hard = ["a" * 777, "ab" * 500 + "a", "the" * 400, "aaab" * 300, "é" * 300, "日本" * 200, letters(2000), letters(2000, "aab"), letters(999, "eéтß"), "x" * 64, "x" * 65]
+    library = Tokenizer.from_file(WORD_PATH)
+    counts = lambda texts: [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    merger = token_counts.RankMerger(WORD_PATH)
+    assert merger.counts(hard) == counts(hard)
+    big = [letters(1_000_000), letters(300_000, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"), "a" * 200_000]
+    began = time.perf_counter()
+    found = merger.counts(big)
+    assert time.perf_counter() - began < 60
+    assert found == counts(big)
+
+
 def test_count_tokens_rows(docs, no_docs, twice, texts):
     rows = {r["doc_id"]: r for r in token_counts.count_tokens(docs, WORD_PATH, 2048).collect()}
     assert len(rows) == len(texts)
@@ -90,3 +107,36 @@ def test_pack_shard_looks_past_all_full_sequences():
     sequences = packing.pack_shard(lengths, 1024, 1.0, 1 / 1024)
     assert [p for s in sequences for p in s if p[0] == 301] == [(301, 0, 200)]
     assert any({p[0] for p in s} >= {0, 301} for s in sequences)
+
+
+def plain_packing(lengths, capacity):
+    """Whole pieces by sequence: descending, each to the cheapest sequence with room, the first of equals."""
+    room = [capacity] * -(-sum(lengths) // capacity)
+    cost, out = [0.0] * len(room), {}
+    for piece in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
+        n = lengths[piece]
+        able = [s for s in range(len(room)) if room[s] >= n]
+        if able:
+            s = min(able, key=lambda s: (cost[s], s))
+            room[s] -= n
+            cost[s] += n + n * n / 1024
+            out[piece] = s
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_go_to_the_lowest_cost_with_room(seed):
+    rng = np.random.default_rng(seed)
+    draw = [lambda: rng.integers(1, 1024, 300), lambda: np.minimum(rng.lognormal(5, 1.2, 300).astype(int) + 1, 1023), lambda: rng.choice([1, 300, 700, 1023], 300)]
+    lengths = draw[seed % 3]().tolist()
+    whole = {p: s for s, own in enumerate(packing.pack_shard(lengths, 1024, 1.0, 1 / 1024)) for p, lo, hi in own if hi - lo == lengths[p]}
+    wanted = plain_packing(lengths, 1024)
+    assert {p: whole[p] for p in wanted} == wanted
+
+
+def test_repeated_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    rows = spark.range(6000).selectExpr("cast(if(id % 2 = 0, null, 7) as long) doc_id", "'the same words again' text").repartition(3)
+    pieces = packing.pack(rows, BYTE_PATH)
+    n = [r["count"] for r in pieces.groupBy((F.col("sequence_id") / (1 << 33)).cast("long")).count().collect()]
+    assert sum(n) >= 6000 and max(n) < 64 * 3
