@@ -4,24 +4,30 @@ Sizes are words.  Each source has a target in words.  ``rate = target / size of
 the source`` says how often its documents are taken: ``floor(rate)`` whole
 copies of each are certain, and a sample takes the rest.  The sample is in
 Pareto order: documents are ranked by random odds over inclusion odds,
-``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the id, and taken from
-the lowest rank until the words are reached.  Behind that point, documents that
-still fit the gap are taken from a short pool, so that the taken words end
-close to the target.
+``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of id and text, and taken from
+the lowest rank until the words are reached.  Inclusion probabilities ``p`` are
+unequal: in proportion to ``importance``, by default the logarithm of the size
+(``log_size``), so that longer documents are likelier to have a further copy.
+Behind the point where the words are reached, documents that still fit the gap
+are taken from a short pool, so that the taken words end close to the target.
 
 Nothing is sorted or gathered by source: the rank where the words are reached
 is found by histograms of at most ``BINS`` bins a source, refined until the bin
 holds few documents, so a source may hold any part of the rows.  Only the plan
-of the mix (a few numbers a source) is held by the driver.
+of the mix (a few numbers a source) is held by the driver.  Rows that are alike in
+id and text follow each other in rank, told apart by their number in the table
+written first, so a pool is short however often a row repeats; which of them
+are taken changes nothing in the result.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
-source of its own, ordered last; repeated rows are ranked alike and counted
-each; an empty table gives an empty table; further columns are ignored.
+source of its own, ordered last; repeated rows are counted each, and null ids
+are told apart by their texts; an importance that is null, NaN, infinite or not positive counts as 1; an empty
+table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -31,7 +37,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
 #: Bins of all sources together in one pass; more sources have coarser bins and more passes.
 MOST_BINS = 1_000_000
-RANK_BITS = 52
+#: Bits of a rank that come from the random odds, and below them those that tell equal rows apart.
+ODDS_BITS, ROW_BITS = 40, 22
+RANK_BITS = ODDS_BITS + ROW_BITS
 #: A bin is refined while it holds more documents; the pool behind it is as large.
 POOL = 256
 MAX_COPIES = 3.0
@@ -74,24 +82,25 @@ def fill_gap(sizes: list[int], gap: int) -> list[bool]:
     return taken
 
 
-def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def log_size(size: Column) -> Column:
+    """The importance of a document by its words: 1 for none, 7 for a thousand."""
+    return F.log1p(size.cast("double")) + 1
+
+
+def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str | Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``id_col, size, source_size, target, taken`` for each row.
 
-    ``importance`` names a column of positive factors on the inclusion
-    probabilities within a source; without it they are equal there.
+    ``importance`` is a column of positive factors on the inclusion
+    probabilities within a source; without it ``log_size`` of the size is taken.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    factor = F.col(importance).cast("double") if importance else F.lit(1.0)
-    rows = stash(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            factor.alias("factor"),
-        ),
-        "mix",
-    )
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    factor = log_size(F.col("size")) if importance is None else F.col("factor").cast("double")
+    given = F.lit(None) if importance is None else F.col(importance) if isinstance(importance, str) else importance
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw"), given.alias("factor"))
+    rows = rows.withColumn("factor", F.when((factor > 0) & (factor < float("inf")), factor).otherwise(1.0))
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "mix")
     named = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     found = named.groupBy("source_key", "source").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("factor")).alias("mass")).collect()
     sizes = {r.source: r.size for r in found}
@@ -109,11 +118,12 @@ def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str |
         return df.join(F.broadcast(small) if len(entries) <= BROADCAST_SOURCES else small, "source_key")
 
     planned = joined(named, list(plan.values()), "source_key string, source_size long, target double, whole long, part double, mean double") if plan else named.selectExpr("*", "0L source_size", "0D target", "0L whole", "0D part", "1D mean")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 12).cast("double") + 0.5) / float(1 << 52)
+    u = (F.shiftrightunsigned("draw", 12).cast("double") + 0.5) / float(1 << 52)
     p = F.least(F.greatest(F.col("part") * F.col("factor") / F.col("mean"), F.lit(1e-12)), F.lit(1 - 1e-12))
     odds = (u / (1 - u)) / (p / (1 - p))
     # odds / (1 + odds) keeps the order and lies between 0 and 1
-    ranked = planned.withColumn("rank", F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long"))
+    drawn = F.least(F.floor(odds / (1 + odds) * float(1 << ODDS_BITS)).cast("long"), F.lit((1 << ODDS_BITS) - 1))
+    ranked = planned.withColumn("rank", F.shiftleft(drawn, ROW_BITS) + F.shiftrightunsigned(F.xxhash64("row"), 64 - ROW_BITS))
 
     # [lo, hi) is where the words are reached; gap is what is missing at lo
     state = {k: [0, 1 << RANK_BITS, g] for k, g in gaps.items() if g > 0}

@@ -77,6 +77,52 @@ def test_larger_importance_is_taken_more_often(spark):
     assert odd > 1.5 * even
 
 
+def test_the_sample_is_the_sorted_pareto_order(spark, mixed_docs):
+    """Against sorting: ranks of all documents, whole copies, and all that ranks before the words are reached."""
+    rows = mixing.mix(mixed_docs, [5, 2, 1], seed=17).collect()
+    taken = {r["doc_id"]: r["taken"] for r in rows}
+    draws = {r["doc_id"]: (r["draw"] % (1 << 64) >> 12) for r in mixed_docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("draw")).collect()}
+    by_source = defaultdict(list)
+    for r in mixed_docs.collect():
+        by_source[r["source"]].append((r["doc_id"], size_of(r["text"])))
+    goal = mixing.targets({s: sum(n for _, n in own) for s, own in by_source.items()}, [5, 2, 1])
+    for s, own in by_source.items():
+        total = sum(n for _, n in own)
+        want = min(round(goal[s]), 3 * total)
+        whole = min(want // total, 3)
+        part, factor = (want - whole * total) / total, {i: np.log1p(n) + 1 for i, n in own}
+        mean = sum(n * factor[i] for i, n in own) / total
+        ranks = []
+        for i, n in own:
+            u, p = (draws[i] + 0.5) / 2**52, min(max(part * factor[i] / mean, 1e-12), 1 - 1e-12)
+            ranks.append(((u / (1 - u)) / (p / (1 - p)), i, n))
+        ranks.sort()
+        upto, sure, never = 0, [], []
+        for _, i, n in ranks:
+            (sure if upto + n <= want - whole * total else never).append((i, n))
+            upto += n
+        extra = lambda i, n: taken[i] - whole * n
+        off = [i for i, n in sure if extra(i, n) != n] + [i for i, n in never if extra(i, n) != 0 and n]
+        # only the pool around the end is chosen by fit
+        assert len(off) <= 12 and set(off) <= {i for _, i, _ in ranks[len(sure) - 1 : len(sure) + 2 * mixing.POOL]}
+
+
+def test_repeated_rows_make_no_long_pool(spark, tmp_path, monkeypatch):
+    """All rows alike, by null id: the pool of a source stays short, and the result is the same however they are dealt."""
+    plain, folder = mixing.fill_gap, str(tmp_path)
+
+    def noted(sizes, gap):
+        with open(f"{folder}/pools", "a") as f:
+            f.write(f"{len(sizes)}\n")
+        return plain(sizes, gap)
+
+    monkeypatch.setattr(mixing, "fill_gap", noted)
+    rows = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'some words here' text", "if(id % 3 = 0, 'a', 'b') source")
+    out = [sorted(map(tuple, mixing.mix(rows.repartition(k), [5, 2]).groupBy("source_size", "taken").count().collect())) for k in (2, 5)]
+    pools = [int(n) for n in open(f"{folder}/pools")]
+    assert out[0] == out[1] and 0 < max(pools) <= 4 * mixing.POOL
+
+
 def exact(vectors, k, every):
     out = {}
     for q, v in vectors.items():
