@@ -6,9 +6,10 @@ the logistic loss.  All trees are complete and of one depth, so the forest is
 three flat arrays, and scoring walks all trees of all rows at once, one level a
 step.
 
-It learns from at most ``sample`` labelled rows, those of least hash of the id;
-their statistics are all the driver gets.  Language, source and id are no
-inputs.
+It learns from at most ``sample`` labelled documents, those of least hash of the
+id, an id that occurs in several rows once (with its least label and least
+statistics); their statistics are all the driver gets.  Language, source and id
+are no inputs.
 
 Defined cases: null text counts as empty, and empty texts get a score;
 labels other than 0 and 1 are ignored; without labels every score is 0.5, with
@@ -127,8 +128,9 @@ def _with_statistics(texts: list) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64(F.lit("sample"), "id"), "id", "label").limit(sample)
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows of two numbers
 
     def run(batches):
@@ -139,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "label", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, label int, x array<double>").limit(2 * sample).toPandas()
+    measured = rows.mapInArrow(run, f"id {kind}, label int, x array<double>")
+    found = measured.groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas()
     if not len(found):
         return Forest()
     found = found.assign(x=found["x"].map(tuple)).sort_values(["id", "label", "x"], kind="stable")
