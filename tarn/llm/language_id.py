@@ -9,14 +9,17 @@ document's probabilities are those of its windows, weighted by their bytes; ever
 byte of the text is in one window.
 
 The network is trained in numpy with Adam on a sample of labelled rows bounded
-by ``per_language`` rows for each of at most ``MOST_LANGUAGES`` languages, from
-each of which one stretch of ``STRETCH`` characters at a hashed place is taken.
-The sample and the training are deterministic.
+by about ``per_language`` rows for each language and ``sample`` rows in all, from
+each of which one stretch of ``STRETCH`` characters at a hashed place is taken;
+all bytes of the stretches are learned.  The sample and the training are
+deterministic.  Any number of languages may occur.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if there is nothing to learn from; rows without a language
 are not learned from; repeated rows get equal results; an empty table gives an
-empty table; no column but the text decides a prediction.
+empty table; no column but the text decides a prediction.  Columns of the input
+that are named like a result (``lang_pred``, ``score``, in any case) give way to
+it.
 """
 
 from __future__ import annotations
@@ -25,12 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back_memory, text_slices
+from .common import bounded_batches, give_back_memory, stash, text_slices, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-MOST_LANGUAGES = 256
 STRETCH = 512
 UNDETERMINED = "und"
 
@@ -124,12 +126,21 @@ class ByteNet:
         return [self.languages[b] for b in best], np.clip(total[np.arange(len(texts)), best], 0, 1).tolist()
 
 
+def windows_of(stretch: str) -> list[bytes]:
+    """All bytes of a stretch in windows; a short rest joins the window before it by overlapping it."""
+    raw = stretch.encode("utf-8", "replace")
+    starts = list(range(0, max(len(raw), 1), WINDOW))
+    if len(starts) > 1 and len(raw) - starts[-1] < WINDOW // 4:
+        starts[-1] = len(raw) - WINDOW
+    return [raw[lo : lo + WINDOW].ljust(WINDOW, b"\0") for lo in starts]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept back from learning: CRC-32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
+def fit(docs: DataFrame, per_language: int = 1500, sample: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """A network learned from rows that are not held out; None if there are none."""
     hashed = F.xxhash64(F.lit("sample"), id_col)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(id_col)).select(
@@ -137,21 +148,23 @@ def fit(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_
         F.pmod(hashed, F.lit(1 << 30)).alias("place"),
         F.expr(f"substring(`{text_col}`, cast(1 + pmod(xxhash64('stretch', `{id_col}`), greatest(length(`{text_col}`) - {STRETCH}, 0) + 1) as int), {STRETCH})").alias("stretch"),
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = stash(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n_languages = counts.count()
+    if not n_languages:
+        return None
+    quota = max(1, min(per_language, sample // n_languages))
+    # Spark broadcasts the counts if their written size allows, and shuffles the few columns of ``known`` else
+    near = known.join(counts, "lang").where(F.col("place") < F.expr(f"cast({(1 << 30) * 1.1 * quota} / n + 1 as long)"))
+    rows = near.orderBy("place", "lang", "stretch").limit(min(int(1.25 * quota * n_languages) + 64, sample)).select("lang", "stretch").collect()
+    if not rows:
         return None
-    chosen = F.lit(False)
-    for r in counts:
-        upto = min(1 << 30, int((1 << 30) * 1.1 * per_language / r["count"]) + 1)
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("place") < upto))
-    sample = known.where(chosen).orderBy("place", "lang", "stretch").limit(int(1.25 * per_language * len(counts)) + 64).collect()
-    languages = sorted({r["lang"] for r in sample})
+    languages = sorted({r["lang"] for r in rows})
+    number = {lang: i for i, lang in enumerate(languages)}
     x, y = [], []
-    for r in sample:
-        raw = r["stretch"].encode("utf-8", "replace")
-        for lo in range(0, max(1, min(len(raw), 2 * WINDOW) - WINDOW // 4), WINDOW):
-            x.append(raw[lo : lo + WINDOW].ljust(WINDOW, b"\0"))
-            y.append(languages.index(r["lang"]))
+    for r in rows:
+        own = windows_of(r["stretch"])
+        x += own
+        y += [number[r["lang"]]] * len(own)
     net = ByteNet(languages)
     net.train(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y))
     return net
@@ -159,6 +172,7 @@ def fit(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_
 
 def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` behind its columns; no shuffle."""
+    docs = without(docs, ["lang_pred", "score"], text_col)
     if net is None:
         return docs.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     bounded_batches(docs.sparkSession)

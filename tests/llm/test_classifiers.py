@@ -44,6 +44,8 @@ def test_identify_edges(spark, net, docs, no_docs, twice, texts):
             assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
         else:
             assert found[i]["lang_pred"] in LETTERS
+    clashing = language_id.identify(docs, net)
+    assert clashing.columns == [*[c for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score"] and clashing.count() == len(texts)
     assert language_id.identify(no_docs, net).count() == 0
     assert language_id.identify(twice, net).count() == 2 * len(texts) + 2
     assert {r["lang_pred"] for r in language_id.identify(docs.select("text"), None).collect()} == {"und"}
@@ -55,6 +57,70 @@ def test_windows_cover_the_whole_text(net):
     assert net.predict([head + tail])[0] == ["cc"]
 
 
+def plain_responses(net, window):
+    """Largest response of each filter, place by place."""
+    out = []
+    for w, table in zip(language_id.WIDTHS, net.tables, strict=True):
+        for f in range(language_id.FILTERS):
+            out.append(max(sum(float(table[j, window[i + j], f]) for j in range(w)) for i in range(len(window) - w + 1)))
+    return np.array(out)
+
+
+def plain_probabilities(net, window):
+    z = np.maximum(plain_responses(net, window), 0) @ net.dense + net.bias
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_prediction_equals_the_plain_network(net):
+    rng = random.Random(4)
+    for text in ["".join(rng.choice("abcklmvwx éж") for _ in range(n)) for n in (3, 90, 256, 700)]:
+        raw = text.encode()
+        total = np.zeros(len(net.languages))
+        for lo in range(0, len(raw), language_id.WINDOW):
+            own = raw[lo : lo + language_id.WINDOW]
+            total += len(own) * plain_probabilities(net, own.ljust(language_id.WINDOW, b"\0"))
+        (lang,), (score,) = net.predict([text])
+        assert score == pytest.approx(total.max() / len(raw), abs=1e-4) and lang == net.languages[int(total.argmax())]
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    net = language_id.ByteNet(["a", "b", "c"])
+    net.tables, net.dense = [t.astype(float) for t in net.tables], net.dense.astype(float)
+    net.bias = net.bias.astype(float)
+    x, y = rng.integers(1, 256, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+
+    def loss():
+        return -np.mean([np.log(plain_probabilities(net, row.tolist())[k]) for row, k in zip(x, y, strict=True)])
+
+    grads = net._gradients(x, y)
+    for weights, grad in zip([*net.tables, net.dense, net.bias], grads, strict=True):
+        for at in [np.unravel_index(k, grad.shape) for k in np.argsort(-np.abs(grad), axis=None)[:3]]:
+            weights[at] += 1e-5
+            up = loss()
+            weights[at] -= 2e-5
+            down = loss()
+            weights[at] += 1e-5
+            assert grad[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_all_bytes_of_a_stretch_are_learned():
+    for text in ["", "a", "日本語" * 170, "abc " * 128, "x" * 300, "é" * 500]:
+        raw, own = text.encode(), language_id.windows_of(text)
+        assert all(len(w) == language_id.WINDOW for w in own)
+        assert all(any(raw[i : i + 8] in w for w in own) for i in range(0, len(raw) - 264, 7))
+        assert b"".join(own).count(b"\0") < language_id.WINDOW or len(raw) < language_id.WINDOW
+
+
+def test_many_languages_are_learned_within_the_sample(spark):
+    rows = [(i, f"text of language {i % 300}", f"l{i % 300:03}") for i in range(3600)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(net.languages) == 300
+    few = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert 0 < len(few.languages) <= 50
+
+
 def plain_scores(forest, x):
     out = []
     for row in x:
@@ -93,6 +159,15 @@ def test_quality_of_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
 
 
+def test_repeated_documents_are_learned_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50, 30))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=40)
+    often = quality.fit(spark.createDataFrame(rows + [rows[3]] * 500, "doc_id long, text string"), labels.unionByName(labels), sample=40)
+    assert np.array_equal(once.leaf, often.leaf) and once.base == often.base
+
+
 def test_quality_edges(spark, docs, no_docs, twice, texts):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
