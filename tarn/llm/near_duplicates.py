@@ -42,6 +42,11 @@ LARGE_BUCKET = 32
 PIVOT_ROUNDS = 2
 #: Texts of at most so many candidate nodes are found by a broadcast of their ids.
 BROADCAST_NODES = 2_000_000
+#: Pairs of one node that meet one copy of its set.
+PAIRS_A_COPY = 4096
+#: Tables of one row a bucket are broadcast up to so many rows; the members of a larger number of buckets meet them by a
+#: join that the engine splits where a bucket holds much.
+BROADCAST_BUCKETS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -201,9 +206,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
+    # a node with many partners (the pivot of a large family) has a copy of its set for each PAIRS_A_COPY of them
+    fans = pairs.groupBy("a").agg(F.expr(f"count(*) div {PAIRS_A_COPY} + 1").alias("fan"))
+    left = left.join(fans, "a").withColumn("copy", F.explode(F.expr("sequence(0L, fan - 1)"))).drop("fan")
+    pairs = pairs.join(fans, "a").withColumn("copy", F.expr("pmod(xxhash64(b), fan)")).drop("fan")
     # only lengths that can reach the threshold meet
     long_enough = (F.length("of_a") * 100 >= F.length("of_b") * percent) & (F.length("of_b") * 100 >= F.length("of_a") * percent)
-    met = pairs.join(right, "b").join(left, "a").where(long_enough).select("a", "b", "of_a", "of_b")
+    met = pairs.join(right, "b").join(left, ["a", "copy"]).where(long_enough).select("a", "b", "of_a", "of_b")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -231,6 +240,10 @@ def _cross_pairs(active: DataFrame) -> DataFrame:
     return a.join(b, "band").where("a < b AND root_a <> root_b").select("a", "b").distinct()
 
 
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_BUCKETS else table
+
+
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``nodes`` (``node, root``) of different components that can reach the threshold.
 
@@ -275,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = stash(known.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    members = stash(banded.join(buckets, "band"), "members")
+    members = stash(banded.join(_few(stash(buckets, "buckets")), "band"), "members")
 
     candidates = members.select(F.col("node").alias("id")).distinct()
     if candidates.count() <= BROADCAST_NODES:
@@ -289,7 +302,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     for turn in range(PIVOT_ROUNDS + 1):
         rooted = members.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "root")).alias("p")).where("least <> most")
-        active = rooted.join(mixed.select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "band")
+        mixed = stash(mixed.select("band", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "mixed")
+        active = rooted.join(_few(mixed), "band")
         if turn < PIVOT_ROUNDS:
             ahead = active.where(f"size > {LARGE_BUCKET} AND root <> pivot_root").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         else:
