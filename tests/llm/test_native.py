@@ -56,11 +56,10 @@ def plain_fingerprint(text):
     for b in range(128):
         value = bins.get(b)
         if value is None:
-            for t in range(1, 9):
-                value = bins.get(hash_ints([b, t]) % 128) if signed(hash_ints([b, t])) >= 0 else bins.get(signed(hash_ints([b, t])) % 128)
-                if value is not None:
-                    break
-        low = value & 255 if value is not None else min((signed(hash_ints(["order", b, k])) & ~255) | (v & 255) for k, v in bins.items()) & 255
+            h = signed(hash_ints([b]))
+            at, step = h % 128, 2 * ((h >> 32) % 64) + 1
+            value = next(v for t in range(128) if (v := bins.get((at + t * step) % 128)) is not None)
+        low = value & 255
         out.append(f"{low:02x}")
     return "".join(out)
 
@@ -96,6 +95,27 @@ def test_fingerprint_edges(spark, no_docs, twice, texts):
     assert one["near_next"] == 1.0
 
 
+def test_rows_that_repeat_often_are_worked_off_once(spark, monkeypatch):
+    """Equal, whether or not they are gathered, and with one text after another for ids and null ids that repeat."""
+    rows = [(7, "a b c d e f")] * 40 + [(None, "x y z")] * 30 + [(7, f"other {i}") for i in range(25)] + [(None, f"none {i}") for i in range(25)] + [(i, f"text {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = sorted(map(repr, fingerprints.compare_neighbours(df).collect()))
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 10)
+    assert sorted(map(repr, fingerprints.compare_neighbours(df).collect())) == plain and len(plain) == len(rows)
+    named = df.withColumnRenamed("doc_id", "id")
+    made = fingerprints.with_next(fingerprints._once(named, fingerprints._several(named)), ["text"])
+    assert made.count() == 2 + 25 + 25 + 3
+
+
+def test_null_ids_spread_over_buckets(spark):
+    rows = spark.range(4000).selectExpr("cast(null as long) id", "concat('text ', id) text")
+    found = fingerprints.with_next(rows, ["text"])
+    texts = [(r["text"], r["next"]["text"]) for r in found.collect()]
+    assert len({a for a, _ in texts}) == len({b for _, b in texts}) == 4000
+    sizes = [len(p) for p in found.rdd.glom().collect()]
+    assert max(sizes) < 4000
+
+
 def test_next_row_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "CHAIN_ROWS", 2)
     ids = [0, 1, 511, 512, 5000, 5001, 300_000, 300_001, 9_000_000, -3, -600, 10**15]
