@@ -9,6 +9,8 @@ from .. import kinds as K
 from ..errors import KindError
 from ..kinds import Kind
 from ..plans.expr import Expr, lowers
+from .arithmetic import whole_division
+from .predicates import equality_key
 
 
 def sum_kind(kind: Kind) -> Kind:
@@ -38,7 +40,7 @@ def _count(expr: Expr, a: Column | None = None) -> Column:
 
 @lowers("agg.count_distinct")
 def _count_distinct(expr: Expr, a: Column) -> Column:
-    return F.count_distinct(a)
+    return F.count_distinct(equality_key(a, expr.args[0].kind))
 
 
 @lowers("agg.sum")
@@ -64,11 +66,11 @@ def _avg(expr: Expr, a: Column) -> Column:
         months, days, micros = F.sum(a["months"]), F.sum(a["days"]), F.sum(a["micros"])
         day = 86_400_000_000
         # what does not divide goes on to the smaller field, as months of 30 days
-        m = (months - months % F.count(a)) / F.count(a)
+        m = whole_division(months, F.count(a))
         rest_days = (months % F.count(a)) * 30 + days
-        d = (rest_days - rest_days % F.count(a)) / F.count(a)
-        rest = (rest_days % F.count(a)) * day + micros
-        return F.when(n > 0, F.struct(m.cast("int").alias("months"), d.cast("int").alias("days"), F.round(rest / F.count(a)).cast("long").alias("micros")))
+        d = whole_division(rest_days, F.count(a))
+        rest = ((rest_days % F.count(a)).cast("decimal(20,0)") * F.lit(day).cast("decimal(11,0)") + micros).cast("decimal(38,0)")
+        return F.when(n > 0, F.struct(m.cast("int").alias("months"), d.cast("int").alias("days"), F.round(rest / n, 0).cast("long").alias("micros")))
     return F.avg(a.cast("double"))
 
 

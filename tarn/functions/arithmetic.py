@@ -57,7 +57,7 @@ def _plus_minus(expr: Expr, a: Column, b: Column) -> Column:
         micros = F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
         day = 86_400_000_000
         rest = F.expr("1L") * micros % day
-        return interval_column(F.lit(0), (micros - rest) / day, rest)
+        return interval_column(F.lit(0), whole_division(micros, F.lit(day)), rest)
     return _number(a + b if sign > 0 else a - b, expr)
 
 
@@ -80,16 +80,16 @@ def _times(expr: Expr, a: Column, b: Column) -> Column:
 def _divided_by(expr: Expr, a: Column, b: Column) -> Column:
     if expr.kind.name in ("smallint", "integer", "bigint"):
         a, b = _wide(expr, a, b)
-        return _whole_division(a, b).cast(expr.kind.spark)
+        return whole_division(a, b).cast(expr.kind.spark)
     if expr.kind.name == "decimal":
         exact = lambda c, e: c if e.kind.name == "decimal" else c.cast("decimal(20,0)")
         return (exact(a, expr.args[0]).cast("decimal(38,10)") / exact(b, expr.args[1]).cast("decimal(38,10)")).cast("decimal(38,16)")
     return _number(a.cast("double") / b.cast("double"), expr)
 
 
-def _whole_division(a: Column, b: Column) -> Column:
-    """Division that cuts towards zero and fails on zero."""
-    return (a - a % b) / b
+def whole_division(a: Column, b: Column) -> Column:
+    """Division of whole numbers that cuts towards zero and fails on zero."""
+    return F.call_function("div", a, b)
 
 
 @lowers("mod")
@@ -117,6 +117,37 @@ def _ceil_floor(expr: Expr, a: Column) -> Column:
     return getattr(F, expr.op)(a).cast(expr.kind.spark if expr.kind.name == "double" else "decimal(38,0)")
 
 
+def interval_of_text(text: Column) -> Column:
+    """Intervals written as numbers with units and a clock, such as ``1 year -2 days 03:04:05.5``; others fail."""
+    from ..plans.literals import _UNITS
+
+    low = F.lower(F.trim(text))
+    clock = r"([+-]?)([0-9]+):([0-9]{2})(?::([0-9]{2}(?:[.][0-9]+)?))?"
+    part = r"([+-]?[0-9]+(?:[.][0-9]+)?) *([a-z]+)"
+    rest = F.regexp_replace(low, clock, "")
+    group = lambda i: F.regexp_extract(low, clock, i)
+    number = lambda col: F.when(col == "", F.lit("0")).otherwise(col).cast("decimal(30,6)")
+    clock_micros = F.when(group(1) == "-", -1).otherwise(1) * (number(group(2)) * 3_600_000_000 + number(group(3)) * 60_000_000 + number(group(4)) * 1_000_000)
+    units = F.transform(F.regexp_extract_all(rest, F.lit(part), F.lit(2)), lambda u: F.when(u.isin(*_UNITS), u).otherwise(F.regexp_replace(u, "s$", "")))
+    parts = F.arrays_zip(F.regexp_extract_all(rest, F.lit(part), F.lit(1)).alias("n"), units.alias("u"))
+    known = F.trim(F.regexp_replace(F.regexp_replace(rest, part, ""), "ago", "")) == ""
+    known = known & F.forall(units, lambda u: u.isin(*_UNITS))
+
+    def total(place: int) -> Column:
+        """Of months, days or microseconds, all parts together."""
+        size = lambda u: F.coalesce(*[F.when(u == name, F.lit(of[place])) for name, of in _UNITS.items() if of[place]], F.lit(0))
+        return F.aggregate(parts, F.lit(0).cast("decimal(38,6)"), lambda s, p: (s + p["n"].cast("decimal(20,6)") * size(p["u"]).cast("decimal(11,0)")).cast("decimal(38,6)"))
+
+    months, days = total(0), total(1)
+    cut = lambda col: F.when(col < 0, F.ceil(col)).otherwise(F.floor(col))
+    days = days + (months - cut(months)) * 30
+    micros = total(2) + clock_micros + (days - cut(days)) * 86_400_000_000
+    sign = F.when(F.endswith(rest, F.lit("ago")), -1).otherwise(1)
+    wrong = F.raise_error(F.concat(F.lit("invalid input syntax for type interval: "), text))
+    made = interval_column(cut(months) * sign, cut(days) * sign, cut(micros) * sign)
+    return F.when(text.isNotNull(), F.when(known, made).otherwise(wrong.cast("struct<months:int,days:int,micros:bigint>")))
+
+
 @lowers("cast")
 def _cast(expr: Expr, a: Column) -> Column:
     source, target = expr.args[0].kind.name, expr.kind.name
@@ -133,13 +164,9 @@ def _cast(expr: Expr, a: Column) -> Column:
         text = as_text(a, expr.args[0].kind, boolean=("true", "false"))
         return F.substring(text, 1, expr.kind.length) if expr.kind.length else text
     if target == "interval" and source in K.TEXTUAL:
-        if expr.args[0].op != "value":
-            from ..errors import UnsupportedError
-
-            raise UnsupportedError("only values are cast to intervals")
         from ..plans.literals import literal
 
-        return literal(expr.args[0].payload, K.INTERVAL)
+        return literal(expr.args[0].payload, K.INTERVAL) if expr.args[0].op == "value" else interval_of_text(a)
     if target == "time" and source in K.TEXTUAL:
         stamp = F.concat(F.lit("1970-01-01 "), a).cast("timestamp_ntz").cast("timestamp")
         return F.unix_micros(stamp)

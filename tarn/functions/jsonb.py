@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 import re
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,11 +110,81 @@ def _equal(a, b) -> bool:
     return isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
+def _is(v: Column, *types: str) -> Column:
+    """Whether a variant is of a type, by the first letters of its name."""
+    name = F.schema_of_variant(v)
+    return reduce(lambda a, b: a | b, [F.startswith(name, F.lit(t)) for t in types])
+
+
+def _elements(v: Column) -> Column:
+    """A variant array's elements, null of others."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def _exact(value) -> decimal.Decimal | None:
+    """A number with at most 20 digits before the point and 18 behind it, else None."""
+    d = decimal.Decimal(str(value))
+    return d if d == d.quantize(decimal.Decimal(1).scaleb(-18)) and abs(d) < 10**19 else None
+
+
+def _expressible(b) -> bool:
+    """Whether all numbers of a constant document can be compared as decimals."""
+    if isinstance(b, dict):
+        return all(map(_expressible, b.values()))
+    if isinstance(b, list):
+        return all(map(_expressible, b))
+    try:
+        return isinstance(b, (bool, str)) or b is None or _exact(b) is not None
+    except decimal.InvalidOperation:
+        return False
+
+
+def _same_scalar(v: Column, b) -> Column:
+    """Whether a variant equals a constant scalar."""
+    if b is None:
+        return _is(v, "VOID")
+    if isinstance(b, bool):
+        return _is(v, "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == b)
+    if isinstance(b, str):
+        return _is(v, "STRING") & (F.try_variant_get(v, "$", "string") == b)
+    return _is(v, *_NUMBERS) & (F.try_variant_get(v, "$", "decimal(38,18)") == F.lit(_exact(b)).cast("decimal(38,18)"))
+
+
+def _some(v: Column, test) -> Column:
+    """Whether an element of a variant array meets a test."""
+    return F.coalesce(F.exists(_elements(v), lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
+
+
+def _holds(v: Column, b) -> Column:
+    """Whether a variant contains a constant document."""
+    if isinstance(b, dict):
+        out = _is(v, "OBJECT")
+        for key, value in b.items():
+            out = out & F.coalesce(_holds(F.try_variant_get(v, "$" + _quoted(key), "variant"), value), F.lit(False))
+        return out
+    if isinstance(b, list):
+        out = _is(v, "ARRAY")
+        for y in b:
+            out = out & _some(v, partial(_holds, b=y))
+        return out
+    return _same_scalar(v, b)
+
+
 @lowers("jsonb.contains", "jsonb.contained_by")
 def _contains(expr: Expr, a: Column, b: Column) -> Column:
     a, b = (a, b) if expr.op == "jsonb.contains" else (b, a)
-
-    # containment is recursive to any depth, which no expression can say
+    inner = expr.args[1 if expr.op == "jsonb.contains" else 0]
+    if inner.op == "value" and inner.payload is not None and _expressible(inner.payload):
+        document, v = inner.payload, F.parse_json(a)
+        out = _holds(v, document)
+        if not isinstance(document, (dict, list)):
+            out = out | _some(v, partial(_same_scalar, b=document))
+        return F.when(a.isNotNull(), F.coalesce(out, F.lit(False)))
+
+    # two columns: containment is recursive to any depth, which no expression can say
     @F.pandas_udf("boolean")
     def holds(x, y):
         import json
@@ -178,6 +250,48 @@ def _meets(x, operator: str, y) -> bool:
     return {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[operator]
 
 
+def _reaches(v: Column, steps, leaf) -> Column:
+    """Whether some value at the end of the steps meets ``leaf``; arrays are unwrapped as the lax mode does."""
+    if not steps:
+        return leaf(v)
+    step, rest = steps[0], steps[1:]
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    is_array = _is(v, "ARRAY")
+    if step == "*":
+        return F.when(is_array, sure(F.exists(_elements(v), lambda e: sure(_reaches(e, rest, leaf))))).otherwise(sure(_reaches(v, rest, leaf)))
+    if isinstance(step, int):
+        item = F.get(_elements(v), F.lit(step))
+        return F.when(is_array, item.isNotNull() & sure(_reaches(item, rest, leaf))).otherwise(F.lit(step == 0) & sure(_reaches(v, rest, leaf)))
+
+    def member(e):
+        found = F.try_variant_get(e, "$" + _quoted(step), "variant")
+        return found.isNotNull() & sure(_reaches(found, rest, leaf))
+
+    return F.when(is_array, sure(F.exists(_elements(v), lambda e: _is(e, "OBJECT") & member(e)))).otherwise(_is(v, "OBJECT") & member(v))
+
+
+def _leaf(member, operator, value, is_filter):
+    """What the value at a path's end has to be."""
+
+    def meets(v: Column) -> Column:
+        if operator in ("==", "!=", "<>"):
+            same = F.coalesce(_same_scalar(v, value), F.lit(False))
+            return same if operator == "==" else ~same
+        if isinstance(value, bool) or value is None:
+            return F.lit(False)
+        compare = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[operator]
+        if isinstance(value, str):
+            return _is(v, "STRING") & compare(F.try_variant_get(v, "$", "string"), F.lit(value))
+        return _is(v, *_NUMBERS) & compare(F.try_variant_get(v, "$", "decimal(38,18)"), F.lit(_exact(value)).cast("decimal(38,18)"))
+
+    if operator is None:
+        return lambda v: F.lit(True)
+    if not is_filter:
+        return meets
+    inner = lambda v: F.coalesce(_reaches(v, member, meets), F.lit(False))
+    return lambda v: F.when(_is(v, "ARRAY"), F.coalesce(F.exists(_elements(v), inner), F.lit(False))).otherwise(inner(v))
+
+
 @lowers("json.path_exists", "json.path_matches")
 def _path(expr: Expr, a: Column) -> Column:
     steps, member, operator, value, is_filter = parse_path(expr.payload)
@@ -185,6 +299,9 @@ def _path(expr: Expr, a: Column) -> Column:
     if exists and operator and not is_filter or not exists and (is_filter or not operator):
         raise UnsupportedError(f"jsonpath {expr.payload!r}")
 
+    if value is None and operator is None or not isinstance(value, (dict, list)) and _expressible(value):
+        return F.when(a.isNotNull(), F.coalesce(_reaches(F.parse_json(a), steps, _leaf(member, operator, value, is_filter)), F.lit(False)))
+
     @F.pandas_udf("boolean")
     def found(x):
         import json

@@ -53,6 +53,15 @@ def sort_key(col: Column, kind: Kind) -> Column:
     return col
 
 
+#: Kinds of which different values can be equal: 1 day and 24 hours, 1 and 1.0 in documents, spellings of an address.
+EQUAL_BY_KEY = ("interval", "jsonb", "inet")
+
+
+def equality_key(col: Column, kind: Kind) -> Column:
+    """A column that is the same for values the kind holds equal."""
+    return sort_key(col, kind) if kind.name in EQUAL_BY_KEY else col
+
+
 def _sides(expr: Expr, a: Column, b: Column):
     left, right = expr.args[0].kind, expr.args[1].kind
     right = right.elem if expr.args[1].op in ("any", "all") else right

@@ -106,6 +106,11 @@ def _coalesce(expr: Expr, *parts: Column) -> Column:
 
 @lowers("nullif")
 def _nullif(expr: Expr, a: Column, b: Column) -> Column:
+    from .predicates import EQUAL_BY_KEY, equality_key
+
+    left, right = expr.args[0].kind, expr.args[1].kind
+    if left.name in EQUAL_BY_KEY:
+        return F.when(F.coalesce(equality_key(a, left) == equality_key(b, right), F.lit(False)), F.lit(None)).otherwise(a)
     return F.nullif(a, b)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import KindError, ScopeError
-from ..functions.predicates import sort_key
+from ..functions.predicates import EQUAL_BY_KEY, equality_key, sort_key
 from ..schema import Table
 from .expr import Env, Expr
 
@@ -133,7 +133,7 @@ def build(node: SelectNode, load) -> DataFrame:
         outer = [e for e in order_exprs if not any(e == x or (e.op == "column") for x in node.outputs)]
         if outer:
             raise KindError("with distinct, order_by keys are selected ones")
-        df = df.distinct()
+        df = _distinct(df, node, keys, hidden)
     if sort:
         df = df.orderBy(*sort)
     if node.offset:
@@ -143,6 +143,15 @@ def build(node: SelectNode, load) -> DataFrame:
     return df.select(*[F.col(f"`{k}`") for k in keys])
 
 
+def _distinct(df: DataFrame, node: SelectNode, keys, hidden) -> DataFrame:
+    """One row of those whose values the kinds hold equal."""
+    keyed = {f"#e{i}": equality_key(F.col(f"`{k}`"), e.kind) for i, (e, k) in enumerate(zip(node.outputs, keys, strict=True)) if e.kind.name in EQUAL_BY_KEY}
+    if not keyed:
+        return df.distinct()
+    plain = [k for e, k in zip(node.outputs, keys, strict=True) if e.kind.name not in EQUAL_BY_KEY]
+    return df.withColumns(keyed).dropDuplicates([*plain, *keyed])
+
+
 def _aggregate(node: SelectNode, df: DataFrame, env: Env, keys, hidden, order_exprs) -> DataFrame:
     groups = [env.lower(g) for g in node.group_by]
     df = _apply_hoisted(df, env)
@@ -153,7 +162,8 @@ def _aggregate(node: SelectNode, df: DataFrame, env: Env, keys, hidden, order_ex
     def override(e: Expr):
         for g, name in zip(grouped, names, strict=True):
             if e == g:
-                return F.col(f"`{name}`")
+                # of values that are equal but not the same, one stands for the group
+                return F.min(F.col(f"`{name}v`")) if g.kind.name in EQUAL_BY_KEY else F.col(f"`{name}`")
         if e.op.startswith("agg."):
             return inner.lower(e)
         if e.op == "ref":
@@ -171,7 +181,8 @@ def _aggregate(node: SelectNode, df: DataFrame, env: Env, keys, hidden, order_ex
         df = df.withColumns(inner.hoisted)
     if outer.hoisted:
         raise KindError("raw SQL over aggregates takes columns and values only")
-    df = df.withColumns(dict(zip(names, groups, strict=True))) if names else df
+    if names:
+        df = df.withColumns({name: equality_key(c, g.kind) for name, c, g in zip(names, groups, grouped, strict=True)} | {f"{name}v": c for name, c, g in zip(names, groups, grouped, strict=True) if g.kind.name in EQUAL_BY_KEY})
     if not columns:
         columns = [F.count(F.lit(1)).alias("#n")]
     return df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*columns)

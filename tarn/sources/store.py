@@ -2,7 +2,7 @@
 
 A snapshot is a list of Parquet folders.  Inserts add a folder; updates and
 deletes write the table anew.  ``_log/<number>.json`` holds the state of all
-tables after a commit and is created exclusively, so a commit of several tables
+tables after a commit and appears whole and once, so a commit of several tables
 is atomic and a second writer of the same table is found out.  The folder may be
 in any file system that Spark reaches.
 """
@@ -10,6 +10,7 @@ in any file system that Spark reaches.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -72,16 +73,30 @@ class Store:
             paths = head["paths"] | {t: state.paths[t] for t in written if t in state.paths}
             identity = head["identity"] | {k: v for k, v in state.identity.items() if k.partition(".")[0] in written}
             text = json.dumps({"paths": paths, "identity": identity, "written": sorted(written)})
-            target = self._path(f"{self.root}/_log/{number + 1:012d}.json")
-            try:
-                stream = self._fs.create(target, False)
-            except Exception:  # noqa: BLE001  whatever the file system says, the number may be taken
-                if self._fs.exists(target):
-                    continue
-                raise
-            stream.write(bytearray(text.encode()))
-            stream.close()
-            return number + 1
+            if self._put(number + 1, text):
+                return number + 1
+
+    def _put(self, number: int, text: str) -> bool:
+        """Makes a log entry that is whole from the moment it is seen; false if the number is taken.
+
+        Written aside, then linked (local files) or renamed, which neither
+        replaces an entry nor shows a part of one.  Other file systems than local
+        ones need a rename that is atomic and fails on an existing name.
+        """
+        aside, target = (self._path(f"{self.root}/_log/{name}") for name in (f".{uuid.uuid4().hex}.tmp", f"{number:012d}.json"))
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            if self._fs.getScheme() == "file":
+                try:
+                    os.link(aside.toUri().getPath(), target.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not self._fs.exists(target) and self._fs.rename(aside, target)
+        finally:
+            self._fs.delete(aside, False)
 
 
 class View:

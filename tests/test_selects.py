@@ -311,3 +311,46 @@ def test_codecs(spark):
     t = define_table("t", price=tarn.integer().use_codec(cents))
     db = Database(spark, {"t": spark.createDataFrame([(250,)], "price int")})
     assert db.select_from(t).select("t.price").expect_value().execute() == 2.5
+
+
+DOCS = ['{"a":1,"b":[1,2,{"c":"x"}],"d":null}', '{"a":1.0,"b":[]}', '{"a":"1","d":{"e":true}}', "[1,2,3]", '["x",[1],{"a":1}]', "1", '"x"', "null", "true", '{"a":[{"b":1},{"b":2.5}]}', '{"a":{"b":[3,4]}}', "[]", "{}", None]
+
+
+@pytest.mark.parametrize("part", [{"a": 1}, {"a": 1.0}, {}, [], [1], [3, 1], {"b": [2]}, {"b": [{"c": "x"}]}, {"d": None}, {"d": {"e": True}}, 1, "x", True, [[1]], {"a": [{"b": 2.5}]}, {"a": {"b": [4]}}, ["x", {"a": 1}]])
+def test_containment_of_constants_equals_the_plain_rule(spark, part):
+    import json
+
+    from tarn.functions import jsonb as J
+
+    t = define_table("docs", id=tarn.integer(), doc=tarn.jsonb().nullable())
+    df = spark.createDataFrame(list(enumerate(DOCS)), "id int, doc string")
+    got = Database(spark, {"docs": df}).select_from(t).select("docs.id", lambda eb: eb.ref("docs.doc").contains(part).as_("has"))
+    plan = got.frame()._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
+    for r in got.execute():
+        text = DOCS[r["id"]]
+        doc = json.loads(text) if text is not None else None
+        want = None if text is None else J.contains_document(doc, part) or (isinstance(doc, list) and not isinstance(part, (dict, list)) and any(J._equal(e, part) for e in doc))
+        assert r["has"] == want, (text, part)
+
+
+@pytest.mark.parametrize("path", ["$.a", "$.b[2].c", "$[0]", "$[*].a", "$.a.b", "$.a[*] ? (@.b > 2)", "$.b ? (@ == 2)", "$.d", "$.a ? (@ >= 1)", '$.a ? (@ == "1")', "$.d.e ? (@ == true)", "$.a ? (@ != 1)"])
+def test_paths_equal_the_plain_walk(spark, path):
+    import json
+
+    from tarn.functions import jsonb as J
+
+    t = define_table("docs", id=tarn.integer(), doc=tarn.jsonb().nullable())
+    df = spark.createDataFrame(list(enumerate(DOCS)), "id int, doc string")
+    got = Database(spark, {"docs": df}).select_from(t).select("docs.id", lambda eb: eb.json.path_exists("docs.doc", path).as_("has"))
+    assert "ArrowEvalPython" not in got.frame()._jdf.queryExecution().toString()
+    steps, member, operator, value, is_filter = J.parse_path(path)
+    for r in got.execute():
+        if DOCS[r["id"]] is None:
+            assert r["has"] is None
+            continue
+        docs = J._walk([json.loads(DOCS[r["id"]])], steps)
+        if is_filter:
+            docs = [e for d in docs for e in (d if isinstance(d, list) else [d])]
+            docs = [d for d in docs if any(J._meets(v, operator, value) for v in J._walk([d], member))]
+        assert r["has"] == bool(docs), (DOCS[r["id"]], path)

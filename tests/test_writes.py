@@ -229,3 +229,21 @@ def test_now_is_when_the_transaction_started(db):
 
     first, second = db.transaction(work)
     assert first == second
+
+
+def test_a_writer_that_dies_leaves_the_log_readable(spark, tmp_path, monkeypatch):
+    from tarn.sources import store as module
+
+    own = module.Store(spark, str(tmp_path / "log"))
+    own.publish(0, module.State({"t": ["a"]}), {"t"})
+
+    def dies(*_):
+        raise OSError("died")
+
+    monkeypatch.setattr(module.os, "link", dies)
+    with pytest.raises(OSError):
+        own.publish(1, module.State({"t": ["b"]}), {"t"})
+    assert own.head()[1].paths == {"t": ["a"]}
+    monkeypatch.undo()
+    assert own.publish(1, module.State({"t": ["c"]}), {"t"}) == 2 and own.head()[1].paths == {"t": ["c"]}
+    assert not own._put(2, "{}") and own.head()[1].paths == {"t": ["c"]}
