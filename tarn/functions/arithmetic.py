@@ -130,21 +130,21 @@ def interval_of_text(text: Column) -> Column:
     clock_micros = F.when(group(1) == "-", -1).otherwise(1) * (number(group(2)) * 3_600_000_000 + number(group(3)) * 60_000_000 + number(group(4)) * 1_000_000)
     units = F.transform(F.regexp_extract_all(rest, F.lit(part), F.lit(2)), lambda u: F.when(u.isin(*_UNITS), u).otherwise(F.regexp_replace(u, "s$", "")))
     parts = F.arrays_zip(F.regexp_extract_all(rest, F.lit(part), F.lit(1)).alias("n"), units.alias("u"))
-    known = F.trim(F.regexp_replace(F.regexp_replace(rest, part, ""), "ago", "")) == ""
-    known = known & F.forall(units, lambda u: u.isin(*_UNITS))
+    known = (F.trim(F.regexp_replace(F.regexp_replace(rest, part, ""), "ago", "")) == "") & F.forall(units, lambda u: u.isin(*_UNITS))
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  computes the value once
 
-    def total(place: int) -> Column:
+    def total(found: Column, place: int) -> Column:
         """Of months, days or microseconds, all parts together."""
         size = lambda u: F.coalesce(*[F.when(u == name, F.lit(of[place])) for name, of in _UNITS.items() if of[place]], F.lit(0))
-        return F.aggregate(parts, F.lit(0).cast("decimal(38,6)"), lambda s, p: (s + p["n"].cast("decimal(20,6)") * size(p["u"]).cast("decimal(11,0)")).cast("decimal(38,6)"))
+        return F.aggregate(found, F.lit(0).cast("decimal(38,6)"), lambda s, p: (s + p["n"].cast("decimal(20,6)") * size(p["u"]).cast("decimal(11,0)")).cast("decimal(38,6)"))
 
-    months, days = total(0), total(1)
     cut = lambda col: F.when(col < 0, F.ceil(col)).otherwise(F.floor(col))
-    days = days + (months - cut(months)) * 30
-    micros = total(2) + clock_micros + (days - cut(days)) * 86_400_000_000
     sign = F.when(F.endswith(rest, F.lit("ago")), -1).otherwise(1)
+    sums = let(parts, lambda found: F.struct(total(found, 0).alias("m"), total(found, 1).alias("d"), total(found, 2).alias("u")))
+    # what is no whole month or day goes on to the smaller field
+    whole = let(sums, lambda t: F.struct(cut(t["m"]).alias("m"), (t["d"] + (t["m"] - cut(t["m"])) * 30).alias("d"), t["u"].alias("u")))
+    made = let(whole, lambda t: interval_column(t["m"] * sign, cut(t["d"]) * sign, cut(t["u"] + clock_micros + (t["d"] - cut(t["d"])) * 86_400_000_000) * sign))
     wrong = F.raise_error(F.concat(F.lit("invalid input syntax for type interval: "), text))
-    made = interval_column(cut(months) * sign, cut(days) * sign, cut(micros) * sign)
     return F.when(text.isNotNull(), F.when(known, made).otherwise(wrong.cast("struct<months:int,days:int,micros:bigint>")))
 
 

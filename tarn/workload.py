@@ -501,8 +501,10 @@ def _written(name: str, sql_text: str, work):
 
 def store_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-")
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tarn-')).rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 _written("insert_rows", "SELECT * FROM nation UNION ALL VALUES (100, 'ATLANTIS', 1), (101, 'LEMURIA', 2)", lambda db: db.insert_into(stored).values([{"n_nationkey": 100, "n_name": "ATLANTIS", "n_regionkey": 1}, {"n_nationkey": 101, "n_name": "LEMURIA", "n_regionkey": 2}]).execute())
@@ -528,3 +530,6 @@ def _transfer(db):
             pass
 
     db.transaction(work)
+
+
+from . import workload_more  # noqa: E402, F401  registers the further ones
