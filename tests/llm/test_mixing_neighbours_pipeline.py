@@ -238,3 +238,19 @@ def test_language_keeps_unlabelled_documents(spark, docs, texts):
     found = corpus_pipeline.language(spark, plain, "").collect()
     assert {r["doc_id"] for r in found} == {i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
     assert {r["lang"] for r in found} == {"und"}
+
+
+def test_mix_stage_takes_what_the_operator_takes(spark):
+    """Also of null ids, which are told apart by their texts, and of rows that repeat."""
+    rng = random.Random(9)
+    rows = [(i if i % 3 else None, " ".join(["w"] * rng.randrange(1, 6)) + f" {i % 400}", "en", "ab"[i % 5 == 0], i % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows + rows[:300], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix(spark, df, "").collect()
+    sizes = defaultdict(int)
+    for r in df.collect():
+        sizes[r["source"]] += size_of(r["text"])
+    goal, got = mixing.targets(dict(sizes), [5, 2, 1]), defaultdict(int)
+    for r in out:
+        got[r["source"]] += size_of(r["text"])
+    assert all(abs(got[s] - goal[s]) <= 6 for s in goal)
+    assert sorted(map(repr, out)) == sorted(map(repr, corpus_pipeline.mix(spark, df.repartition(3), "").collect()))
