@@ -88,12 +88,20 @@ class Write(Query):
             if bad:
                 raise NotNullViolation(f"null in {self.table.source}.{bad[0]}", self.table.source, (bad[0],))
 
-    def _check_unique(self, df: DataFrame, keys: list[tuple[str, ...]]) -> None:
+    def _located(self, view) -> DataFrame:
+        """The table's rows as ``alias.key`` columns, each with its ``#file``."""
+        named = [F.col(f"`{self.table.db_name(k)}`").cast(c.kind.spark).alias(f"{self.table.alias}.{k}") for k, c in self.table.columns.items()]
+        return view.located(self.table).select(*named, "`#file`")
+
+    def _check_unique(self, new: DataFrame, old: list[DataFrame], keys: list[tuple[str, ...]]) -> None:
+        """No key of the ``new`` rows stands in them twice or in ``old`` rows, of which only the keys are read."""
         for key in keys:
             names = [self.table.db_name(k) for k in key]
+            own = new.select(*[F.col(f"`{n}`") for n in names])
             present = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names])
-            twice = df.where(present).groupBy(*[F.col(f"`{n}`") for n in names]).count().where("count > 1")
-            if not twice.isEmpty():
+            twice = own.where(present).groupBy(*own.columns).count().where("count > 1")
+            # the new rows are the smaller side: as the right one they can be broadcast
+            if not twice.isEmpty() or any(not df.select(*own.columns).join(own, names, "left_semi").isEmpty() for df in old):
                 raise UniqueViolation(f"duplicate {', '.join(key)} in {self.table.source}", self.table.source, tuple(key))
 
     def _unique_keys(self) -> list[tuple[str, ...]]:
@@ -176,12 +184,7 @@ class Insert(Write):
         if self._conflict is None:
             path, written = self._write(view, self._stored(new))
             self._check_nulls(written)
-            keys = self._unique_keys()
-            for key in keys:
-                names = [t.db_name(k) for k in key]
-                if not written.join(old, names, "left_semi").isEmpty():
-                    raise UniqueViolation(f"duplicate {', '.join(key)} in {t.source}", t.source, key)
-            self._check_unique(written, keys)
+            self._check_unique(written, [old], self._unique_keys())
             view.stage(t, [*paths, path], identity)
             return named_frame(t, written, False)
         key, partial = self._conflict
@@ -192,12 +195,15 @@ class Insert(Write):
         if partial is not None:
             matched = named_old.where(env.lower(partial))
         names = [f"{t.alias}.{k}" for k in key]
+        quoted = [F.col(f"`{n}`") for n in names]
+        # the old keys that are proposed again: the proposed rows are the side to broadcast
+        taken = matched.select(*quoted).join(proposed.select(*quoted), names, "left_semi")
+        fresh = proposed.join(taken, names, "left_anti")
         if self._action[0] == "nothing":
-            fresh = proposed.join(matched.select(*[F.col(f"`{n}`") for n in names]), names, "left_anti").dropDuplicates(names)
-            path, kept = self._write(view, self._stored(fresh))
+            path, added = self._write(view, self._stored(fresh.dropDuplicates(names)))
             view.stage(t, [*paths, path], identity)
-            return named_frame(t, kept, False)
-        twice = proposed.groupBy(*[F.col(f"`{n}`") for n in names]).count().where("count > 1")
+            return named_frame(t, added, False)
+        twice = proposed.groupBy(*quoted).count().where("count > 1")
         if not twice.isEmpty():
             raise QueryError("an upsert cannot touch a row twice")
         excluded = t.as_("excluded")
@@ -205,20 +211,20 @@ class Insert(Write):
         on = reduce(lambda a, b: a & b, [F.col(f"`{t.alias}.{k}`") == F.col(f"`excluded.{k}`") for k in key])
         if partial is not None:
             on = on & env.lower(partial)
-        pairs = named_old.join(other, on, "left")
         changes, test = self._changes(excluded)
         hit = F.coalesce(F.col("`#met`"), F.lit(False))
         if test is not None:
             hit = hit & F.coalesce(env.lower(test), F.lit(False))
-        pairs = pairs.withColumn("#hit", hit)
+        touched, kept = view.split(t, self._located(view).join(other, on, "left").where(hit))
+        pairs = named_frame(t, view.load(t, touched), False).join(other, on, "left").withColumn("#hit", hit)
         updated = pairs.select(*[_changed(env, t, k, changes) for k in t.columns], "#hit")
-        fresh = proposed.join(matched.select(*[F.col(f"`{n}`") for n in names]), names, "left_anti").withColumn("#hit", F.lit(True))
-        both = self._generated(updated.unionByName(fresh))
+        both = self._generated(updated.unionByName(fresh.withColumn("#hit", F.lit(True))))
         path, whole = self._write(view, self._stored(both, [F.col("`#hit`")]))
-        self._check_nulls(whole)
-        self._check_unique(whole, self._unique_keys())
-        view.stage(t, [path], identity)
-        return named_frame(t, whole.where(F.col("`#hit`")), False)
+        changed = whole.where(F.col("`#hit`"))
+        self._check_nulls(changed)
+        self._check_unique(changed, [whole.where(~F.col("`#hit`")), view.load(t, kept)], self._unique_keys())
+        view.stage(t, [*kept, path], identity)
+        return named_frame(t, changed, False)
 
     def _changes(self, excluded: Table):
         t = self.table
@@ -367,11 +373,10 @@ class Update(Conditional):
         t = self.table
         if not (self._where or self._all or self._each):
             raise ScopeError("an update needs where, all_rows or set_each")
-        df, env, changes = named_frame(t, view.load(t), False), Env(), dict(self._set)
+        env, changes = Env(), dict(self._set)
         hit = self._test(env)
         if self._each:
             rows, keys, source = self._each
-            df = self._joined(view, df, rows, keys, source)
             hit = hit & F.coalesce(F.col("`#given`"), F.lit(False))
             eb = Builder(Scope([t, source]))
             for k in source.columns:
@@ -381,16 +386,22 @@ class Update(Conditional):
                     changes[k] = Expr("case", (given, own, old), t.columns[k].kind)
         if not changes:
             raise ScopeError("an update sets something")
-        df = df.withColumn("#hit", hit)
+
+        def aimed(df):
+            return (self._joined(view, df, *self._each) if self._each else df).withColumn("#hit", hit)
+
+        touched, kept = view.split(t, aimed(self._located(view)).where(F.col("`#hit`")))
+        df = aimed(named_frame(t, view.load(t, touched), False))
         extra = [c for c in df.columns if self._each and c.startswith(f"{self._each[2].alias}.")]
         new = df.select(*[_changed(env, t, k, changes) for k in t.columns], *[F.col(f"`{c}`") for c in extra], "#hit")
         path, whole = self._write(view, self._stored(self._generated(new), [F.col(f"`{c}`") for c in [*extra, "#hit"]]))
-        self._check_nulls(whole)
+        changed = whole.where(F.col("`#hit`"))
+        self._check_nulls(changed)
         changed_unique = [key for key in self._unique_keys() if set(key) & set(changes)]
-        self._check_unique(whole, changed_unique)
-        view.stage(t, [path])
+        self._check_unique(changed, [whole.where(~F.col("`#hit`")), view.load(t, kept)], changed_unique)
+        view.stage(t, [*kept, path] if touched else kept)
         own = [F.col(f"`{t.db_name(k)}`").alias(f"{t.alias}.{k}") for k in t.columns]
-        return whole.where(F.col("`#hit`")).select(*own, *[F.col(f"`{c}`") for c in extra])
+        return changed.select(*own, *[F.col(f"`{c}`") for c in extra])
 
     def _joined(self, view, df, rows, keys, source: Table) -> DataFrame:
         from pyspark.sql import types as T
@@ -409,14 +420,16 @@ class Delete(Conditional):
         t = self.table
         if not (self._where or self._all):
             raise ScopeError("a delete needs where or all_rows")
-        old, env = view.load(t), Env()
-        df = named_frame(t, old, False)
-        hit = self._test(env)
+        hit = self._test(Env())
         if self._all and not self._where:
+            df = named_frame(t, view.load(t), False)
             view.stage(t, [])
-        else:
-            path, _ = self._write(view, self._stored(df.where(~hit)))
-            view.stage(t, [path])
+            return df
+        touched, kept = view.split(t, self._located(view).where(hit))
+        df = named_frame(t, view.load(t, touched), False)
+        if touched:
+            kept.append(self._write(view, self._stored(df.where(~hit)))[0])
+        view.stage(t, kept)
         return df.where(hit)
 
 

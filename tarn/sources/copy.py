@@ -94,10 +94,9 @@ def _append(db, table: Table, df: DataFrame) -> int:
         write = Write(table, db)
         path, written = write._write(view, df.select(*[F.col(f"`{table.db_name(k)}`").cast(c.kind.spark) for k, c in table.columns.items()]))
         write._check_nulls(written)
-        view.stage(table, [*view.state.paths.get(table.source, []), path])
-        keys = write._unique_keys()
-        if keys:
-            write._check_unique(view.load(table), keys)
+        before = view.state.paths.get(table.source, [])
+        write._check_unique(written, [view.load(table, before)], write._unique_keys())
+        view.stage(table, [*before, path])
         return written.count()
 
 

@@ -1,7 +1,8 @@
 """Tables as immutable Parquet snapshots under one folder, with a log of commits.
 
-A snapshot is a list of Parquet folders.  Inserts add a folder; updates and
-deletes write the table anew.  ``_log/<number>.json`` holds the state of all
+A snapshot is a list of Parquet folders and files.  Inserts add a folder;
+updates and deletes write those files anew that hold a row they change, and
+keep the others.  ``_log/<number>.json`` holds the state of all
 tables after a commit and appears whole and once, so a commit of several tables
 is atomic and a second writer of the same table is found out.  The folder may be
 in any file system that Spark reaches.
@@ -15,6 +16,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ReadOnlyTransaction, SerializationFailure, UndefinedTable
 from ..schema import Table
@@ -61,6 +63,11 @@ class Store:
     def new_path(self, table: Table) -> str:
         return f"{self.root}/{table.source}/{uuid.uuid4().hex}"
 
+    def files(self, folder: str) -> list[str]:
+        """The names of a folder's Parquet files."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+        return sorted(n for n in names if n.endswith(".parquet") and not n.startswith(("_", ".")))
+
     def publish(self, base: int, state: State, written: set[str]) -> int:
         """Makes ``state`` of the written tables current, if nobody wrote them since ``base``."""
         while True:
@@ -107,8 +114,10 @@ class View:
         self.base, self.state = store.head()
         self.written: set[str] = set()
 
-    def load(self, table: Table) -> DataFrame:
-        paths = self.state.paths.get(table.source)
+    def load(self, table: Table, paths: list[str] | None = None) -> DataFrame:
+        """The table, or what of it stands in some of its paths."""
+        if paths is None:
+            paths = self.state.paths.get(table.source)
         if paths is None:
             raise UndefinedTable(f"table {table.source} does not exist")
         spark = self.store.spark
@@ -116,6 +125,29 @@ class View:
             return spark.createDataFrame([], table.stored)
         return spark.read.schema(table.stored).parquet(*paths)
 
+    def located(self, table: Table) -> DataFrame:
+        """The table with the file of each row as ``#file``."""
+        df = self.load(table)
+        return df.select("*", (F.col("_metadata.file_path") if self.state.paths[table.source] else F.lit(None)).alias("#file"))
+
+    def split(self, table: Table, rows: DataFrame) -> tuple[list[str], list[str]]:
+        """The paths of the files that hold one of the rows (by their ``#file``), and the other paths.
+
+        What reaches the driver is a name for each file that is hit.  A folder
+        without such a file stays one path.
+        """
+        names = {tuple(r[0].split("/")[-2:]) for r in rows.select("#file").distinct().collect()}
+        folders = {folder for folder, _ in names}
+        touched, kept = [], []
+        for path in self.state.paths[table.source]:
+            above, name = path.split("/")[-2:]
+            if name in folders:
+                for file in self.store.files(path):
+                    (touched if (name, file) in names else kept).append(f"{path}/{file}")
+            else:
+                (touched if (above, name) in names else kept).append(path)
+        return touched, kept
+
     def stage(self, table: Table, paths: list[str], identity: dict[str, int] | None = None) -> None:
         if self.read_only:
             raise ReadOnlyTransaction(f"cannot write {table.source} in a read-only transaction")

@@ -4,6 +4,7 @@ import pytest
 
 import tarn
 from tarn import Database, define_table, errors
+from tarn.sources.store import View
 
 items = define_table("items", id=tarn.integer().identity(), key=tarn.text().unique(), n=tarn.integer().nullable(), twice=tarn.integer().nullable().generated(lambda eb: eb.ref("items.n").times(2)))
 plain = define_table("plain", k=tarn.integer().unique(), v=tarn.text().nullable())
@@ -71,6 +72,31 @@ def test_update_and_delete(db):
     assert db.delete_from(items).all_rows().execute().row_count == 2 and rows(db) == []
 
 
+def test_only_files_with_a_hit_are_written(db):
+    def paths():
+        return View(db.store).state.paths["plain"]
+
+    for start in (0, 10, 20):
+        db.insert_into(plain).values([{"k": start + i, "v": "x"} for i in range(3)]).execute()
+    first = paths()
+    assert len(first) == 3
+    assert db.update(plain).set({"v": "y"}).where("plain.k", 11).execute().row_count == 1
+    after = paths()
+    assert first[0] in after and first[2] in after and first[1] not in after
+    assert db.update(plain).set({"v": "z"}).where("plain.k", 99).execute().row_count == 0 and paths() == after
+    assert db.delete_from(plain).where("plain.k", 99).execute().row_count == 0 and paths() == after
+    assert db.delete_from(plain).where("plain.k", 2).execute().row_count == 1
+    assert first[2] in paths() and first[0] not in paths()
+    with pytest.raises(errors.UniqueViolation):
+        db.update(plain).set({"k": 20}).where("plain.k", 0).execute()
+    with pytest.raises(errors.UniqueViolation):
+        db.update(plain).set({"k": 12}).where("plain.k", 11).execute()
+    assert db.insert_into(plain).values([{"k": 20, "v": "m"}, {"k": 30, "v": "n"}]).on_conflict("k").merge().execute().row_count == 2
+    assert db.update(plain).set_each([{"k": 30, "v": "o"}, {"k": 77, "v": "p"}], key="k").execute().row_count == 1
+    have = {r["k"]: r["v"] for r in db.select_from(plain).select("plain.k", "plain.v").execute()}
+    assert have == {0: "x", 1: "x", 10: "x", 11: "y", 12: "x", 20: "m", 21: "x", 22: "x", 30: "o"}
+
+
 def test_set_each(db):
     done = db.update(items).set_each([{"key": "a", "n": 10}, {"key": "b", "n": None}, {"key": "nobody", "n": 1}], key="key").returning("items.key", lambda eb: eb.ref("row.n").as_("given")).execute()
     assert sorted((r["key"], r["given"]) for r in done) == [("a", 10), ("b", None)]
