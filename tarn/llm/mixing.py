@@ -17,12 +17,15 @@ holds few documents, so a source may hold any part of the rows.  Only the plan
 of the mix (a few numbers a source) is held by the driver.  Rows that are alike in
 id and text follow each other in rank, told apart by their number in the table
 written first, so a pool is short however often a row repeats; which of them
-are taken changes nothing in the result.
+are taken changes nothing in the result.  Columns to carry stand in that table
+beside the sizes, so that decisions meet their rows without a join of all rows:
+only those of the pools are joined, by their number, and no text is shuffled but theirs.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source of its own, ordered last; repeated rows are counted each, and null ids
-are told apart by their texts; an importance that is null, NaN, infinite or not positive counts as 1; an empty
-table gives an empty table; further columns are ignored.
+are told apart by their texts and carried columns; an importance that is null, NaN, infinite or not positive counts as 1; an empty
+table gives an empty table; further columns are ignored unless they are carried,
+and carried columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -87,18 +90,19 @@ def log_size(size: Column) -> Column:
     return F.log1p(size.cast("double")) + 1
 
 
-def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str | Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``id_col, size, source_size, target, taken`` for each row.
+def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str | Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """``id_col, size, source_size, target, taken`` and the columns of ``carry`` for each row.
 
     ``importance`` is a column of positive factors on the inclusion
     probabilities within a source; without it ``log_size`` of the size is taken.
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
+    results = {id_col.lower(), "size", "source_size", "target", "taken"}
+    kept = [c for c in carry or [] if c.lower() not in results]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     factor = log_size(F.col("size")) if importance is None else F.col("factor").cast("double")
     given = F.lit(None) if importance is None else F.col(importance) if isinstance(importance, str) else importance
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw"), given.alias("factor"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col, text_col, *[c for c in kept if c != text_col]).alias("draw"), given.alias("factor"), *([F.struct(*kept).alias("carried")] if kept else []))
     rows = rows.withColumn("factor", F.when((factor > 0) & (factor < float("inf")), factor).otherwise(1.0))
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "mix")
     named = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
@@ -161,19 +165,19 @@ def mix(docs: DataFrame, weights: list[float], seed: int = 17, importance: str |
             del open_[key]
     cut = [(k, *((state[k][0], pool_end[k], state[k][2]) if k in state else (0, 0, 0))) for k in plan]
     marked = joined(ranked, cut, "source_key string, lo long, pool_end long, gap long") if cut else ranked.selectExpr("*", "0L lo", "0L pool_end", "0L gap")
-    sure = marked.where("not (rank >= lo and rank < pool_end)").withColumn("extra", (F.col("rank") < F.col("lo")).cast("long"))
-    columns = ["id", "size", "source_size", "target", "whole", "extra"]
 
     def choose(pdf):
         pdf = pdf.sort_values(["rank", "id", "size"], kind="stable")
-        pdf["extra"] = fill_gap(pdf["size"].tolist(), int(pdf["gap"].iloc[0]))
-        pdf["extra"] = pdf["extra"].astype("int64")
-        return pdf[columns]
-
-    pool = marked.where("rank >= lo and rank < pool_end").select("source_key", "id", "size", "source_size", "target", "whole", "rank", "gap")
-    pooled = pool.groupBy("source_key").applyInPandas(choose, f"id {id_type}, size long, source_size long, target double, whole long, extra long")
-    both = sure.select(columns).unionByName(pooled)
-    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+        taken = fill_gap(pdf["size"].tolist(), int(pdf["gap"].iloc[0]))
+        return pdf[["row"]].assign(extra=[int(t) for t in taken])
+
+    columns = ["id", "size", "source_size", "target", "whole", "extra", *(["carried"] if kept else [])]
+    pool = marked.where("rank >= lo and rank < pool_end")
+    chosen = pool.select("source_key", "row", "id", "size", "rank", "gap").groupBy("source_key").applyInPandas(choose, "row long, extra long")
+    sure = marked.where("not (rank >= lo and rank < pool_end)").withColumn("extra", (F.col("rank") < F.col("lo")).cast("long"))
+    both = sure.select(columns).unionByName(pool.join(chosen, "row").select(columns))
+    taken = (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken")
+    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, *[F.col("carried")[c].alias(c) for c in kept])
 
 
 def _running(bins):

@@ -70,6 +70,17 @@ def test_mix_edges(docs, no_docs, twice, texts):
     assert mixing.mix(twice, [5, 2, 1]).count() == 2 * len(texts) + 2
 
 
+def test_carried_columns_stay_with_their_rows(docs, no_docs, twice, texts):
+    carry = ["doc_id", "text", "lang", "size", "lang_pred"]  # ``size`` gives way to the result
+    rows = mixing.mix(twice, [5, 2, 1], carry=carry).collect()
+    assert list(rows[0].asDict()) == ["doc_id", "size", "source_size", "target", "taken", "text", "lang", "lang_pred"]
+    assert len(rows) == 2 * len(texts) + 2 and all(r["size"] == size_of(r["text"]) for r in rows)
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in rows), key=repr) == sorted(((r["doc_id"], r["text"], r["lang"]) for r in twice.collect()), key=repr)
+    goal = {(r["doc_id"], r["source_size"]): r["target"] for r in mixing.mix(twice, [5, 2, 1]).collect()}
+    assert all(goal[r["doc_id"], r["source_size"]] == r["target"] for r in rows)
+    assert mixing.mix(no_docs, [5, 2, 1], carry=carry).count() == 0
+
+
 def test_larger_importance_is_taken_more_often(spark):
     df = spark.createDataFrame([(i, "w " * 10, "a", 8.0 if i % 2 else 1.0) for i in range(2000)] + [(5000 + i, "w " * 10, "b", 1.0) for i in range(8000)], "doc_id long, text string, source string, factor double")
     rows = mixing.mix(df, [1, 9], importance="factor").where("doc_id < 2000").collect()
