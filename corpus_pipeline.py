@@ -53,18 +53,9 @@ def pseudonyms(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Leaves each document as often as the mix takes it; rows alike in all columns are taken as often as all of them together."""
-    docs = docs.select(COLUMNS)
-    # null ids are told apart by what else stands in the row
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text", "lang", "source", "n_chars")))
-    keyed = docs.withColumn("row_key", key)
-    taken = mixing.mix(keyed, weights=[5, 2, 1], id_col="row_key").where("size > 0")
-    copies = taken.groupBy("row_key").agg(F.expr("cast(sum(taken div size) as int)").alias("copies"), F.count("*").alias("n"))
-    copies = stash(copies.where("copies > 0"), "copies")
-    left = keyed.join(_small(copies), "row_key")
-    if not copies.where("n > 1").isEmpty():
-        left = left.where("n = 1").unionByName(left.where("n > 1").dropDuplicates(["row_key"]))
-    return left.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
+    """Leaves each row as often as the mix takes it."""
+    taken = mixing.mix(docs.select(COLUMNS), weights=[5, 2, 1], carry=COLUMNS).where("size > 0 AND taken > 0")
+    return taken.withColumn("copy", F.explode(F.expr("sequence(1L, taken div size)"))).select(COLUMNS)
 
 
 def pack(spark, docs, sf_dir):
